@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -52,3 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="mergeloom-checkpoints-")
     sc.setCheckpointDir(made)
     return made
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    The tables stay as long as the cluster keeps the folder; results may still read them.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/mergeloom-{uuid.uuid4().hex}-{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

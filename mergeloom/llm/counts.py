@@ -37,15 +37,18 @@ class _Counts(dict):
         self.owner, self.lead = owner, lead
 
     def __missing__(self, chunk: str):
-        if not chunk:
+        owner = self.owner
+        if chunk.isalpha():
+            got = owner.piece(self.lead + chunk)
+        elif not chunk:
             got = None if self.lead else 0
         elif chunk[0].isspace() or chunk[-1].isspace():
             got = None
         else:
-            got = self.owner.pieces(self.lead + chunk)
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
+            got = owner.pieces(self.lead + chunk)
         if len(chunk) <= 64:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
             self[chunk] = got
         return got
 
@@ -66,13 +69,31 @@ class TokenCounter:
             return 1
         got = self.memo.get(piece)
         if got is None:
-            got = len(self.vocab.encode(piece.encode("utf-8", "surrogatepass")))
+            data = piece.encode("utf-8", "surrogatepass")
+            got = self.merged(data) if len(data) <= 48 else len(self.vocab.encode(data))
             if len(self.memo) >= MEMO_ENTRIES:
                 self.memo.clear()
             if len(piece) <= 64:
                 self.memo[piece] = got
         return got
 
+    def merged(self, data: bytes) -> int:
+        """Tokens left of a short piece after all merges, lowest rank first, leftmost on ties."""
+        rank, never = self.vocab.ranks.get, 1 << 60
+        at = list(range(len(data) + 1))
+        costs = [rank(data[i : i + 2], never) for i in range(len(data) - 1)]
+        while costs:
+            best = min(costs)
+            if best == never:
+                break
+            i = costs.index(best)
+            del at[i + 1], costs[i]
+            if i < len(costs):
+                costs[i] = rank(data[at[i] : at[i + 2]], never)
+            if i:
+                costs[i - 1] = rank(data[at[i - 1] : at[i + 1]], never)
+        return len(costs) + 1
+
     def pieces(self, text: str) -> int:
         return sum(map(self.piece, split_chunk(text, self.pattern)))
 

@@ -19,7 +19,7 @@ SUFFIX = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)"
 CL = regex.compile(
     SUFFIX + r"|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 )
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 600_000
 ENDS = frozenset(".,;:!?")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mergeloom.llm import languages, neardups, quality, toxicity
 from mergeloom.llm.automaton import encode_documents
 from mergeloom.llm.counts import count_documents
 from mergeloom.llm.packing import pack_documents
@@ -14,10 +15,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit_lexicon(spark, docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return languages.identify(docs, languages.fit_languages(spark, docs))
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardups.near_pairs(spark, _table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit_quality(spark, docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -26,5 +46,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_automaton, op6_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_bpe_automaton, op4_jaccard_join, op5_quality_rules, op6_token_counts, op10_packing)}
 SQL: dict[str, str] = {}

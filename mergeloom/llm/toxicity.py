@@ -26,9 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergeloom.llm.neardups import gram_sets
 from mergeloom.llm.samples import labelled_sample
 from mergeloom.llm.text import hash_spans, mix, slices, span_sums, text_buffers, words
 from mergeloom.llm.transducer import Transducer
+from mergeloom.session import written
 
 LABELLED_ROWS = 8_000
 LEAST_DENSITY = 0.003
@@ -228,6 +230,24 @@ def score_texts(col: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray
     return total, threat, size
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """One text of those that share any of three minwise 3-grams: near copies would fake evidence."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                values, bounds = gram_sets(part.column(0))
+                rows = np.flatnonzero(np.diff(bounds))
+                keys = [np.minimum.reduceat(mix(values + np.uint64(k)), bounds[rows]).view(np.int64) if len(rows) else np.zeros(0, dtype=np.int64) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(rows)).columns, *map(pa.array, keys)], ["text", "label", "k0", "k1", "k2"])
+
+    out = sample.select("text", F.col("label").cast("int")).mapInArrow(run, "text string, label int, k0 bigint, k1 bigint, k2 bigint")
+    for k in ("k0", "k1", "k2"):
+        row = F.struct("text", "label", "k0", "k1", "k2")
+        out = out.groupBy(k).agg(F.min_by(row, F.struct(F.xxhash64("text"), "label")).alias("row")).select("row.*")
+    return written(sample.sparkSession, out.select("text", "label"), "distinct")
+
+
 def _features(col: pa.Array) -> np.ndarray:
     """Distinct (row, feature) pairs' features: hashes of whole words and of word beginnings."""
     data, offsets = text_buffers(pc.utf8_lower(col))
@@ -269,7 +289,7 @@ def fit_lexicon(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: i
     labels, or of one kind only, the built-in lexicon is returned.
     """
     lexicon = built_in()
-    sample = labelled_sample(spark, docs, labels, "toxic", rows)
+    sample = without_copies(labelled_sample(spark, docs, labels, "toxic", rows))
     have = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sum(n for k, n in have.items() if k), have.get(0, 0)
     if not toxic or not clean:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergeloom.llm import languages, neardups, quality, toxicity
+from mergeloom.llm import html, languages, neardups, neighbours, passages, quality, toxicity
 from mergeloom.llm.automaton import encode_documents
 from mergeloom.llm.counts import count_documents
 from mergeloom.llm.packing import pack_documents
@@ -42,9 +42,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(spark, _table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(spark, _table(spark, sf_dir, "documents"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit_field(pages))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_bpe_automaton, op4_jaccard_join, op5_quality_rules, op6_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_bpe_automaton, op4_jaccard_join, op5_quality_rules, op6_token_counts, op7_repeated_passages, op8_nearest_neighbours, op9_html_extraction, op10_packing)}
 SQL: dict[str, str] = {}

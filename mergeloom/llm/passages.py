@@ -252,7 +252,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
     text stays as it is.
     """
     runs = window_runs(spark, docs, **options).where("later").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n", "later")).alias("_runs"))
-    place, number, cols = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None, len(docs.columns)
+    names = docs.columns
+    place, number, cols = names.index("text"), names.index("n_chars") if "n_chars" in names else None, len(names)
 
     def run(batches):
         for batch in batches:
@@ -273,7 +274,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
                 arrays[place] = pa.array(texts, arrays[place].type)
                 if sizes is not None:
                     arrays[number] = pa.array(sizes, arrays[number].type)
-            yield pa.RecordBatch.from_arrays(arrays[:cols], docs.columns).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(arrays[:cols], names).filter(pa.array(keep))
 
     joined = docs.join(runs, docs["doc_id"] == runs["_id"], "left").drop("_id")
     return joined.mapInArrow(run, docs.schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions.kernels import Vocabulary
 from mergeloom.functions.patterns import CL, NAMED
+from mergeloom.functions.pieces import BY_JAVA, PieceEncoder, pack_lists
 from mergeloom.sources.ranks import DEFAULT_RANKS, load_vocabulary
 
 IDS = "array<int>"
@@ -85,6 +86,17 @@ def _mapped(values: pa.Array, one, kind: pa.DataType) -> pa.Array:
     return pa.array([None if v is None else one(v) for v in values.to_pylist()], kind)
 
 
+_ENCODERS: dict[tuple, PieceEncoder] = {}
+
+
+def worker_encoder(vocab: Vocabulary, pattern: str) -> PieceEncoder:
+    """The worker's memoising encoder of a complete vocabulary under a named pattern."""
+    key = (id(vocab), pattern)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(vocab.encode_short, BY_JAVA[pattern])
+    return _ENCODERS[key]
+
+
 class Tokenizer:
     """A vocabulary and a split pattern (None: the whole text is one piece).
 
@@ -118,8 +130,22 @@ class Tokenizer:
 
     # -- text --------------------------------------------------------------
 
+    @property
+    def _direct(self) -> bool:
+        """Whether texts go to the worker whole: named patterns, complete vocabularies."""
+        return self.pattern in BY_JAVA and self.vocab.strict
+
     def encode(self, text: Column | str) -> Column:
-        return self.encode_pieces(self.split(text))
+        if not self._direct:
+            return self.encode_pieces(self.split(text))
+        shared, pattern = self._shared, self.pattern
+
+        @F.arrow_udf(IDS)
+        def encode_text(texts: pa.Array) -> pa.Array:
+            one = worker_encoder(shared.value, pattern).text
+            return pack_lists([None if t is None else one(t) for t in texts.to_pylist()])
+
+        return encode_text(F.col(text) if isinstance(text, str) else text)
 
     def encode_pieces(self, pieces: Column) -> Column:
         shared = self._shared
@@ -131,7 +157,15 @@ class Tokenizer:
         return encode_split(pieces)
 
     def count(self, text: Column | str) -> Column:
-        shared = self._shared
+        shared, pattern = self._shared, self.pattern
+        if self._direct:
+
+            @F.arrow_udf("int")
+            def count_text(texts: pa.Array) -> pa.Array:
+                one = worker_encoder(shared.value, pattern).text
+                return pa.array([None if t is None else len(one(t)) >> 2 for t in texts.to_pylist()], pa.int32())
+
+            return count_text(F.col(text) if isinstance(text, str) else text)
 
         @F.arrow_udf("int")
         def count_split(lists: pa.Array) -> pa.Array:

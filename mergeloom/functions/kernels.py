@@ -43,7 +43,7 @@ class Vocabulary:
             raise ValueError(f"{len(missing)} single bytes are missing; pass strict=False to allow that")
         self.max_len = max(map(len, self.tokens))
         self.memo: dict[bytes, tuple[int, ...] | None] = {}
-        self._splits = self._next = self._pairs = self._tails = None
+        self._splits = self._next = self._pairs = self._tails = self._whole = None
         self._valid: dict[tuple[int, int], bool] = {}
 
     def __len__(self) -> int:
@@ -63,6 +63,35 @@ class Vocabulary:
             got = self._heap(data)
         return None if got is None else [self.ranks[p] for p in got]
 
+    def encode_short(self, data: bytes) -> list[int]:
+        """`encode` for a complete vocabulary, tuned to short pieces."""
+        if len(data) > 48:
+            return self.encode(data)
+        rank, never = self.ranks.get, 1 << 60
+        whole = rank(data)
+        if whole is not None and whole in self.whole:
+            return [whole]
+        at = list(range(len(data) + 1))
+        costs = [rank(data[i : i + 2], never) for i in range(len(data) - 1)]
+        while costs:
+            best = min(costs)
+            if best == never:
+                break
+            i = costs.index(best)
+            del at[i + 1], costs[i]
+            if i < len(costs):
+                costs[i] = rank(data[at[i] : at[i + 2]], never)
+            if i:
+                costs[i - 1] = rank(data[at[i - 1] : at[i + 1]], never)
+        return [self.ranks[data[a:b]] for a, b in zip(at, at[1:])]
+
+    @property
+    def whole(self) -> frozenset[int]:
+        """Ids whose bytes encode to themselves alone."""
+        if self._whole is None:
+            self._whole = frozenset(i for i, t in enumerate(self.tokens) if self.encode(t) == [i])
+        return self._whole
+
     def encode_memo(self, piece: bytes) -> tuple[int, ...] | None:
         """`encode` for pieces that recur; the memo is bounded."""
         got = self.memo.get(piece, 0)

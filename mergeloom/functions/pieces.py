@@ -25,17 +25,6 @@ MEMO_ENTRIES = 600_000
 ENDS = frozenset(".,;:!?")
 
 
-def split_chunk(text: str, pattern=CL) -> list[str]:
-    """Pieces of a text; words with at most a blank before and a mark behind skip the pattern."""
-    word = text[1:] if text[:1] == " " else text
-    if pattern is CL:
-        if word.isalpha():
-            return [text]
-        if word[-1:] in ENDS and word[:-1].isalpha():
-            return [text[:-1], word[-1]]
-    return pattern.findall(text)
-
-
 class _Chunks(dict):
     """chunk -> the packed ids of `lead` + chunk; None where a chunk may not be taken alone."""
 
@@ -43,15 +32,20 @@ class _Chunks(dict):
         self.owner, self.lead = owner, lead
 
     def __missing__(self, chunk: str):
+        owner = self.owner
         if not chunk:
             got = None if self.lead else b""
+        elif owner.plain and chunk.isalpha():
+            got = owner.packed(self.lead + chunk)
+        elif owner.plain and chunk[-1] in ENDS and chunk[:-1].isalpha():
+            got = self[chunk[:-1]] + owner.piece(chunk[-1])
         elif chunk[0].isspace() or chunk[-1].isspace():
             got = None
         else:
-            got = self.owner.pieces(self.lead + chunk)
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
+            got = owner.pieces(self.lead + chunk)
         if len(chunk) <= 64:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
             self[chunk] = got
         return got
 
@@ -61,22 +55,25 @@ class PieceEncoder:
 
     def __init__(self, encode, pattern=CL):
         self.encode_piece, self.pattern = encode, pattern
+        self.plain = pattern is CL  # letters, with a blank before and a mark behind, need no pattern
         self.first, self.rest = _Chunks(self, ""), _Chunks(self, " ")
         self.memo: dict[str, bytes] = {}
 
+    def packed(self, piece: str) -> bytes:
+        return array("i", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+
     def piece(self, piece: str) -> bytes:
         got = self.memo.get(piece)
         if got is None:
-            ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-            got = array("i", ids).tobytes()
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
+            got = self.packed(piece)
             if len(piece) <= 64:
+                if len(self.memo) >= MEMO_ENTRIES:
+                    self.memo.clear()
                 self.memo[piece] = got
         return got
 
     def pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece, split_chunk(text, self.pattern)))
+        return b"".join(map(self.piece, self.pattern.findall(text)))
 
     def text(self, text: str) -> bytes:
         head, *parts = text.split(" ")

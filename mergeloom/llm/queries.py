@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mergeloom.llm import html, languages, neardups, neighbours, passages, quality, toxicity
 from mergeloom.llm.automaton import encode_documents
 from mergeloom.llm.counts import count_documents
+from mergeloom.llm.oracles import SQL
 from mergeloom.llm.packing import pack_documents
 from mergeloom.session import spread
 
@@ -60,4 +61,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_bpe_automaton, op4_jaccard_join, op5_quality_rules, op6_token_counts, op7_repeated_passages, op8_nearest_neighbours, op9_html_extraction, op10_packing)}
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions.columns import gather_lists
 from mergeloom.functions.kernels import Vocabulary
-from mergeloom.llm.pieces import PieceEncoder, pack_lists
-from mergeloom.llm.text import text_buffers
+from mergeloom.functions.pieces import PieceEncoder, pack_lists
+from mergeloom.llm.text import slices, text_buffers
 from mergeloom.sources.ranks import DEFAULT_RANKS, load_vocabulary
 
 TABLE_ENTRIES = 2_000_000
@@ -161,8 +161,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks: str = DEFAULT_
         labels, at = machine.labels()
         one = machine.encoder.text
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in slices(batch):
                 packed = [None if t is None else one(t) for t in part.column(1).to_pylist()]
                 lists = pack_lists(packed)
                 sizes = np.array([0 if p is None else len(p) >> 2 for p in packed], dtype=np.int64)

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.functions.kernels import Vocabulary
-from mergeloom.llm.pieces import CL, MEMO_ENTRIES, split_chunk
+from mergeloom.functions.pieces import CL, ENDS, MEMO_ENTRIES
+from mergeloom.llm.text import slices
 from mergeloom.sources.ranks import DEFAULT_RANKS, load_vocabulary
 
 _HERE: dict[int, "TokenCounter"] = {}
@@ -39,7 +40,9 @@ class _Counts(dict):
     def __missing__(self, chunk: str):
         owner = self.owner
         if chunk.isalpha():
-            got = owner.piece(self.lead + chunk)
+            got = owner.counted(self.lead + chunk)
+        elif chunk[-1:] in ENDS and chunk[:-1].isalpha():
+            got = self[chunk[:-1]] + owner.piece(chunk[-1])
         elif not chunk:
             got = None if self.lead else 0
         elif chunk[0].isspace() or chunk[-1].isspace():
@@ -64,16 +67,19 @@ class TokenCounter:
     def __reduce__(self):
         return _restore, (self.vocab, self.whole)
 
-    def piece(self, piece: str) -> int:
+    def counted(self, piece: str) -> int:
         if piece in self.whole:
             return 1
+        data = piece.encode("utf-8", "surrogatepass")
+        return self.merged(data) if len(data) <= 48 else len(self.vocab.encode(data))
+
+    def piece(self, piece: str) -> int:
         got = self.memo.get(piece)
         if got is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            got = self.merged(data) if len(data) <= 48 else len(self.vocab.encode(data))
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
+            got = self.counted(piece)
             if len(piece) <= 64:
+                if len(self.memo) >= MEMO_ENTRIES:
+                    self.memo.clear()
                 self.memo[piece] = got
         return got
 
@@ -95,7 +101,7 @@ class TokenCounter:
         return len(costs) + 1
 
     def pieces(self, text: str) -> int:
-        return sum(map(self.piece, split_chunk(text, self.pattern)))
+        return sum(map(self.piece, self.pattern.findall(text)))
 
     def count(self, text: str) -> int:
         head, *parts = text.split(" ")
@@ -128,8 +134,9 @@ def count_documents(spark: SparkSession, docs: DataFrame, ranks: str = DEFAULT_R
     def run(batches):
         one = shared.value.count
         for batch in batches:
-            counts = [None if t is None else one(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+            for part in slices(batch):
+                counts = [None if t is None else one(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint")

@@ -32,7 +32,7 @@ from mergeloom.session import shared_dir, written
 PASSAGE = 50
 GRAM = 8
 SPAN = PASSAGE - GRAM + 1
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 
 
 def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

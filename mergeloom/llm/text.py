@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 MULT = 1099511628211
 SPREAD = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions.columns import gather_lists
 from mergeloom.llm.graphs import components
+from mergeloom.llm.samples import fresh_name
 from mergeloom.llm.sigtree import join_block
 from mergeloom.llm.text import MULT, hash_spans, mix, slices, text_buffers, words
 from mergeloom.session import written
@@ -77,7 +78,7 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     has = filled.any(axis=1)
     source = np.tile(np.arange(SKETCH), (n, 1))
     bins = np.arange(SKETCH, dtype=np.uint64)
-    for attempt in range(1, 400):
+    for attempt in range(1, 100):
         want = has & ~filled[np.arange(n)[:, None], source].all(axis=1)
         if not want.any():
             break
@@ -85,6 +86,8 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         rows = np.flatnonzero(want)
         open_ = ~filled[rows[:, None], source[rows]]
         source[rows] = np.where(open_, other[None, :], source[rows])
+    left = ~filled[np.arange(n)[:, None], source]
+    source = np.where(left, filled.argmax(axis=1)[:, None], source)
     return out[np.arange(n)[:, None], source]
 
 
@@ -220,5 +223,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, threshold: float = THRESHO
     """
     pairs = near_pairs(spark, docs, threshold)
     star = pairs.select(F.col("doc_ids")[0].alias("a"), F.explode("doc_ids").alias("b"))
-    gone = components(star).where("node <> group").select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    key = fresh_name("_gone", docs.columns)
+    gone = components(star).where("node <> group").select(F.col("node").alias(key))
+    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")

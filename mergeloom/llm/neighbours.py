@@ -163,7 +163,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, id_col: str = "
 
     Every vector is a query.  Rows with a null id or vector, with a null or non-finite
     component, of zero length, or of another length than most, have no neighbours and
-    are nobody's.  Rows that share an id count as one whose best similarity holds; ties
+    are nobody's.  Of rows that share an id the one with the least vector counts; ties
     go to the smaller id; other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -173,11 +173,11 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, id_col: str = "
     if not lengths:
         return spark.createDataFrame([], schema)
     d, total = lengths[0].d, lengths[0].n
-    rows = rows.where(F.size("v") == d)
+    rows = rows.where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
     parts = int(np.clip(round(total / PART_ROWS), 1, MOST_PARTS))
     size = max(SAMPLE_ROWS, 16 * parts)
     ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(size)
-    got = rows.join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy("id").toArrow() if parts > 1 else None
+    got = rows.join(F.broadcast(ids), "id").orderBy("id").toArrow() if parts > 1 else None
     sample = unit(got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d).astype(np.float32)) if got is not None else np.zeros((0, d), np.float32)
     shared = spark.sparkContext.broadcast(fit_router(sample, parts, k))
 
@@ -216,6 +216,5 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, id_col: str = "
         return pa.table({"vec_id": who[asked][a], "neighbour_id": who[held][b], "similarity": s})
 
     found = asks.unionByName(holds).groupBy("part", "q", "s").applyInArrow(search, "vec_id bigint, neighbour_id bigint, similarity double")
-    found = found.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "similarity", "rank")

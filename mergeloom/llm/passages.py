@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mergeloom.functions.columns import gather_lists
+from mergeloom.llm.samples import fresh_name
 from mergeloom.llm.suffixes import MEMORY, common_prefixes, suffix_array
 from mergeloom.llm.text import MULT, hash_spans, mix, slices, text_buffers, words
 from mergeloom.session import shared_dir, written
@@ -251,8 +252,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
     nothing but blanks is left goes; one without such passages, a null id or a null
     text stays as it is.
     """
-    runs = window_runs(spark, docs, **options).where("later").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n", "later")).alias("_runs"))
     names = docs.columns
+    key, found = fresh_name("_id", names), fresh_name("_runs", names)
+    runs = window_runs(spark, docs, **options).where("later").groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "n", "later")).alias(found))
     place, number, cols = names.index("text"), names.index("n_chars") if "n_chars" in names else None, len(names)
 
     def run(batches):
@@ -276,5 +278,5 @@ def without_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
                     arrays[number] = pa.array(sizes, arrays[number].type)
             yield pa.RecordBatch.from_arrays(arrays[:cols], names).filter(pa.array(keep))
 
-    joined = docs.join(runs, docs["doc_id"] == runs["_id"], "left").drop("_id")
+    joined = docs.join(runs, docs["doc_id"] == runs[key], "left").drop(key)
     return joined.mapInArrow(run, docs.schema)

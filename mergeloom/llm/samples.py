@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from mergeloom.session import written
 
 
+def fresh_name(name: str, taken) -> str:
+    """`name`, lengthened until no other column has it, whatever its case."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, what: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Up to `rows` labelled documents (text, label, half), written to the shared folder.
 

@@ -21,33 +21,52 @@ _BLANKS = r"\s*[\r\n]+|\s+(?!\S)|\s+"
 CL = regex.compile(_SUFFIX + r"|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|" + _BLANKS)
 O2 = regex.compile(rf"{P.LEAD}{P.UPPER}*{P.LOWER}+{_SUFFIX}?|{P.LEAD}{P.UPPER}+{P.LOWER}*{_SUFFIX}?|\p{{N}}{{1,3}}| ?[^\s\p{{L}}\p{{N}}]+[\r\n/]*|{_BLANKS}")
 BY_JAVA = {P.CL: CL, P.O2: O2}
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
 ENDS = frozenset(".,;:!?")
 
 
-class _Chunks(dict):
+class Memo(dict):
+    """make(key) by key, bounded: what a full generation held stays at hand for one more."""
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def __missing__(self, key: str):
+        got = self.old.get(key, self)
+        if got is self:
+            got = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
+class _Chunks(Memo):
     """chunk -> the packed ids of `lead` + chunk; None where a chunk may not be taken alone."""
 
     def __init__(self, owner: "PieceEncoder", lead: str):
+        super().__init__()
         self.owner, self.lead = owner, lead
 
-    def __missing__(self, chunk: str):
+    def make(self, chunk: str):
         owner = self.owner
         if not chunk:
-            got = None if self.lead else b""
-        elif owner.plain and chunk.isalpha():
-            got = owner.packed(self.lead + chunk)
-        elif owner.plain and chunk[-1] in ENDS and chunk[:-1].isalpha():
-            got = self[chunk[:-1]] + owner.piece(chunk[-1])
-        elif chunk[0].isspace() or chunk[-1].isspace():
-            got = None
-        else:
-            got = owner.pieces(self.lead + chunk)
-        if len(chunk) <= 64:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[chunk] = got
-        return got
+            return None if self.lead else b""
+        if owner.plain and chunk.isalpha():
+            return owner.packed(self.lead + chunk)
+        if owner.plain and chunk[-1] in ENDS and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + owner.piece(chunk[-1])
+        if chunk[0].isspace() or chunk[-1].isspace():
+            return None
+        return owner.pieces(self.lead + chunk)
+
+
+class _Pieces(Memo):
+    def __init__(self, owner: "PieceEncoder"):
+        super().__init__()
+        self.make = owner.packed
 
 
 class PieceEncoder:
@@ -57,23 +76,16 @@ class PieceEncoder:
         self.encode_piece, self.pattern = encode, pattern
         self.plain = pattern is CL  # letters, with a blank before and a mark behind, need no pattern
         self.first, self.rest = _Chunks(self, ""), _Chunks(self, " ")
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Pieces(self)
 
     def packed(self, piece: str) -> bytes:
         return array("i", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        got = self.memo.get(piece)
-        if got is None:
-            got = self.packed(piece)
-            if len(piece) <= 64:
-                if len(self.memo) >= MEMO_ENTRIES:
-                    self.memo.clear()
-                self.memo[piece] = got
-        return got
+        return self.memo[piece]
 
     def pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.pattern.findall(text)))
+        return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
 
     def text(self, text: str) -> bytes:
         head, *parts = text.split(" ")

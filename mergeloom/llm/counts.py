@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.functions.kernels import Vocabulary
-from mergeloom.functions.pieces import CL, ENDS, MEMO_ENTRIES
+from mergeloom.functions.pieces import CL, ENDS, Memo
 from mergeloom.llm.text import slices
 from mergeloom.sources.ranks import DEFAULT_RANKS, load_vocabulary
 
@@ -33,27 +33,28 @@ def prove_whole(vocab: Vocabulary) -> frozenset[str]:
     return frozenset(whole)
 
 
-class _Counts(dict):
+class _Counts(Memo):
     def __init__(self, owner: "TokenCounter", lead: str):
+        super().__init__()
         self.owner, self.lead = owner, lead
 
-    def __missing__(self, chunk: str):
+    def make(self, chunk: str):
         owner = self.owner
         if chunk.isalpha():
-            got = owner.counted(self.lead + chunk)
-        elif chunk[-1:] in ENDS and chunk[:-1].isalpha():
-            got = self[chunk[:-1]] + owner.piece(chunk[-1])
-        elif not chunk:
-            got = None if self.lead else 0
-        elif chunk[0].isspace() or chunk[-1].isspace():
-            got = None
-        else:
-            got = owner.pieces(self.lead + chunk)
-        if len(chunk) <= 64:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[chunk] = got
-        return got
+            return owner.counted(self.lead + chunk)
+        if chunk[-1:] in ENDS and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + owner.piece(chunk[-1])
+        if not chunk:
+            return None if self.lead else 0
+        if chunk[0].isspace() or chunk[-1].isspace():
+            return None
+        return owner.pieces(self.lead + chunk)
+
+
+class _Pieces(Memo):
+    def __init__(self, owner: "TokenCounter"):
+        super().__init__()
+        self.make = owner.counted
 
 
 class TokenCounter:
@@ -62,7 +63,7 @@ class TokenCounter:
     def __init__(self, vocab: Vocabulary, whole: frozenset[str], pattern=CL):
         self.vocab, self.whole, self.pattern = vocab, whole, pattern
         self.first, self.rest = _Counts(self, ""), _Counts(self, " ")
-        self.memo: dict[str, int] = {}
+        self.memo = _Pieces(self)
 
     def __reduce__(self):
         return _restore, (self.vocab, self.whole)
@@ -74,14 +75,7 @@ class TokenCounter:
         return self.merged(data) if len(data) <= 48 else len(self.vocab.encode(data))
 
     def piece(self, piece: str) -> int:
-        got = self.memo.get(piece)
-        if got is None:
-            got = self.counted(piece)
-            if len(piece) <= 64:
-                if len(self.memo) >= MEMO_ENTRIES:
-                    self.memo.clear()
-                self.memo[piece] = got
-        return got
+        return self.memo[piece]
 
     def merged(self, data: bytes) -> int:
         """Tokens left of a short piece after all merges, lowest rank first, leftmost on ties."""
@@ -101,7 +95,7 @@ class TokenCounter:
         return len(costs) + 1
 
     def pieces(self, text: str) -> int:
-        return sum(map(self.piece, self.pattern.findall(text)))
+        return sum(map(self.memo.__getitem__, self.pattern.findall(text)))
 
     def count(self, text: str) -> int:
         head, *parts = text.split(" ")

@@ -8,6 +8,7 @@ other blank (runs, or blanks beside line ends) takes the pattern as a whole.
 
 from __future__ import annotations
 
+import re
 from array import array
 
 import numpy as np
@@ -16,10 +17,14 @@ import regex
 
 from mergeloom.functions import patterns as P
 
-_SUFFIX = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)"
-_BLANKS = r"\s*[\r\n]+|\s+(?!\S)|\s+"
-CL = regex.compile(_SUFFIX + r"|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|" + _BLANKS)
-O2 = regex.compile(rf"{P.LEAD}{P.UPPER}*{P.LOWER}+{_SUFFIX}?|{P.LEAD}{P.UPPER}+{P.LOWER}*{_SUFFIX}?|\p{{N}}{{1,3}}| ?[^\s\p{{L}}\p{{N}}]+[\r\n/]*|{_BLANKS}")
+
+def _compiled(java: str):
+    """The same pattern in the `regex` module's syntax."""
+    spelled = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), java)
+    return regex.compile(spelled.replace(r"\z", r"\Z"))
+
+
+CL, O2 = _compiled(P.CL), _compiled(P.O2)
 BY_JAVA = {P.CL: CL, P.O2: O2}
 MEMO_ENTRIES = 250_000
 ENDS = frozenset(".,;:!?")

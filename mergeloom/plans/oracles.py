@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from mergeloom.functions.patterns import SUFFIX, WHITE
+from mergeloom.functions.patterns import LETTER, LOWER, NUMBER, SUFFIX, UPPER, WHITE
 from mergeloom.plans.queries import LIMIT
 from mergeloom.sources.ranks import DEFAULT_RANKS
 
 # DuckDB's patterns have no look-ahead: a mark is put before the last blank of a run instead.
 _MARK = r"\x{E000}"
 _LINELESS = WHITE.replace(r"\t-\r", r"\t\x{0B}\x{0C}")
-_END = rf"\p{{N}}{{1,3}}| ?[^{WHITE}{_MARK}\p{{L}}\p{{N}}]+%s|[{WHITE}]*[\r\n]+|[{WHITE}]+"
-_LEAD = rf"[^\r\n{_MARK}\p{{L}}\p{{N}}]?"
-_UP, _LOW = r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]", r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]"
+_OTHER = rf"[^{WHITE}{_MARK}{LETTER}{NUMBER}]"
+_END = rf"{NUMBER}{{1,3}}| ?{_OTHER}+%s|[{WHITE}]*[\r\n]+|[{WHITE}]+"
+_LEAD = rf"[^\r\n{_MARK}{LETTER}{NUMBER}]?"
 DUCK = {
-    "cl": rf"{SUFFIX}|{_LEAD}\p{{L}}+|" + _END % r"[\r\n]*",
-    "o2": rf"{_LEAD}{_UP}*{_LOW}+{SUFFIX}?|{_LEAD}{_UP}+{_LOW}*{SUFFIX}?|" + _END % r"[\r\n/]*",
+    "cl": f"{SUFFIX}|{_LEAD}{LETTER}+|" + _END % r"[\r\n]*",
+    "o2": f"{_LEAD}{UPPER}*{LOWER}+{SUFFIX}?|{_LEAD}{UPPER}+{LOWER}*{SUFFIX}?|" + _END % r"[\r\n/]*",
 }
 
 

@@ -69,3 +69,8 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan of few splits, dealt over all cores; scans that have enough are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Tasks that run at once: what a pool's number of threads would be."""
+    return spark.sparkContext.defaultParallelism

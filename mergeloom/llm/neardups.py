@@ -119,23 +119,14 @@ def _link(table: pa.Table, threshold: float) -> pa.Table:
     rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
     label = np.arange(len(ids))
     need = (threshold - SLACK) * SKETCH
-
-    def root(i):
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
     stop = np.searchsorted(size, size / threshold, side="right")
     for i in range(len(ids) - 1):
-        if stop[i] <= i + 1:
-            continue
-        near = i + 1 + np.flatnonzero((rows[i + 1 : stop[i]] == rows[i]).sum(axis=1) >= need)
-        for j in near[label[near] != label[i]]:
-            x, y = root(i), root(j)
-            if x != y:
-                label[max(x, y)] = min(x, y)
-    label = np.array([root(i) for i in range(len(ids))])
+        # what is linked already needs no comparison: copies of one text cost one pass
+        other = i + 1 + np.flatnonzero(label[i + 1 : stop[i]] != label[i])
+        near = other[(rows[other] == rows[i]).sum(axis=1) >= need]
+        if len(near):
+            linked = np.unique(np.append(label[near], label[i]))
+            label[np.isin(label, linked)] = linked[0]
     order = np.lexsort((ids, label))
     heads = np.r_[True, label[order][1:] != label[order][:-1]]
     least = ids[order][np.maximum.accumulate(np.where(heads, np.arange(len(ids)), 0))]

@@ -181,8 +181,16 @@ class Tokenizer:
         if limit < 0:
             raise ValueError("limit must not be negative")
         col = F.col(text) if isinstance(text, str) else text
+        shared, top, pattern = self._shared, self.vocab.max_len, self.pattern
+        if self._direct:
+
+            @F.arrow_udf("int")
+            def count_within(texts: pa.Array) -> pa.Array:
+                one = worker_encoder(shared.value, pattern).count_within
+                return pa.array([None if t is None else one(t, limit) for t in texts.to_pylist()], pa.int32())
+
+            return count_within(F.when(F.octet_length(col) <= limit * top, col))
         pieces = self.split(col)
-        shared, top = self._shared, self.vocab.max_len
 
         @F.arrow_udf("int")
         def count_some(lists: pa.Array) -> pa.Array:

@@ -100,6 +100,20 @@ class PieceEncoder:
             return self.pieces(text)
 
 
+    def count_within(self, text: str, limit: int) -> int | None:
+        """Token count if it is at most the limit; stops soon after exceeding it."""
+        head, *parts = text.split(" ")
+        try:
+            n = len(self.first[head]) >> 2
+            for k in range(0, len(parts), 128):
+                if n > limit:
+                    return None
+                n += sum(map(len, map(self.rest.__getitem__, parts[k : k + 128]))) >> 2
+        except TypeError:
+            n = len(self.pieces(text)) >> 2
+        return n if n <= limit else None
+
+
 def pack_lists(packed: list[bytes | None]) -> pa.Array:
     """array<int> column from packed ids; None is null."""
     sizes = np.array([0 if p is None else len(p) >> 2 for p in packed], dtype=np.int64)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -17,20 +16,22 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once an application.
 
-    The archive is served by the driver; executors need no shared installation.
+    The archive lies in the shared folder; executors need no shared installation.
     """
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    path = os.path.join(tempfile.mkdtemp(prefix="mergeloom-"), "mergeloom.zip")
-    Path(path).write_bytes(data.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/mergeloom-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(data.getvalue())
+    out.close()
+    sc.addPyFile(path.toString())
+    _SHIPPED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

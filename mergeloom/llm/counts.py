@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from mergeloom.functions.pieces import CL, ENDS, Memo
 from mergeloom.llm.text import slices
 from mergeloom.sources.ranks import DEFAULT_RANKS, load_vocabulary
 
+#: Stands for a chunk that can't be counted alone; no sum of counts makes up for it.
+ALONE = -(1 << 48)
+COUNTED_BYTES = 1 << 22
 _HERE: dict[int, "TokenCounter"] = {}
 
 
@@ -105,6 +109,25 @@ class TokenCounter:
             return self.pieces(text)
 
 
+    def column(self, texts: pa.Array) -> pa.Array:
+        """Counts of a column: every distinct chunk of it is looked up once."""
+        filled = texts.fill_null("")
+        if not len(filled):
+            return pa.array([], pa.int64())
+        lists = pc.split_pattern(filled, pattern=" ")
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = np.cumsum(sizes) - sizes
+        coded = lists.flatten().dictionary_encode()
+        known = np.fromiter((ALONE if n is None else n for n in map(self.rest.__getitem__, coded.dictionary.to_pylist())), dtype=np.int64, count=len(coded.dictionary))
+        n = known[coded.indices.to_numpy()]
+        first = coded.dictionary.take(coded.indices.take(pa.array(heads))).to_pylist()
+        n[heads] = [ALONE if x is None else x for x in map(self.first.__getitem__, first)]
+        out = np.add.reduceat(n, heads)
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = self.pieces(filled[i].as_py())
+        return pa.array(out, pa.int64(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+
 def _restore(vocab, whole) -> TokenCounter:
     key = hash(vocab.tokens)
     if key not in _HERE:
@@ -126,11 +149,10 @@ def count_documents(spark: SparkSession, docs: DataFrame, ranks: str = DEFAULT_R
     shared = share_counter(spark, ranks)
 
     def run(batches):
-        one = shared.value.count
+        count = shared.value.column
         for batch in batches:
-            for part in slices(batch):
-                counts = [None if t is None else one(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+            for part in slices(batch, limit=COUNTED_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), count(part.column(1))], ["doc_id", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint")

@@ -18,8 +18,8 @@ from mergeloom.functions.pieces import CL, ENDS, Memo
 from mergeloom.llm.text import slices
 from mergeloom.sources.ranks import DEFAULT_RANKS, load_vocabulary
 
-#: Stands for a chunk that can't be counted alone; no sum of counts makes up for it.
-ALONE = -(1 << 48)
+#: Stands for a chunk that can't be counted alone.
+ALONE = -1
 COUNTED_BYTES = 1 << 22
 _HERE: dict[int, "TokenCounter"] = {}
 
@@ -122,8 +122,10 @@ class TokenCounter:
         n = known[coded.indices.to_numpy()]
         first = coded.dictionary.take(coded.indices.take(pa.array(heads))).to_pylist()
         n[heads] = [ALONE if x is None else x for x in map(self.first.__getitem__, first)]
+        alone = n < 0
+        n[alone] = 0
         out = np.add.reduceat(n, heads)
-        for i in np.flatnonzero(out < 0).tolist():
+        for i in np.flatnonzero(np.logical_or.reduceat(alone, heads)).tolist():
             out[i] = self.pieces(filled[i].as_py())
         return pa.array(out, pa.int64(), mask=texts.is_null().to_numpy(zero_copy_only=False))
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from mergeloom import Vocabulary
 from mergeloom.llm.automaton import compile_automaton, decode_flat, encode_documents
@@ -43,6 +44,14 @@ def test_counts_and_tokens(spark, vocab, odd_docs, no_docs):
     assert encode_documents(spark, no_docs).count() == count_documents(spark, no_docs).count() == 0
 
 
+def test_counts_of_many_blanks(vocab):
+    counter = TokenCounter(vocab, prove_whole(vocab))
+    lines = "    x = 1\n" * 9000
+    texts = ["plain words", " " * 40_000, None, " " * 65_536 + "word", lines, "", "a" + " " * 65_536 + "b c", "last one"]
+    got = counter.column(pa.array(texts)).to_pylist()
+    assert got == [None if t is None else counter.pieces(t) for t in texts]
+
+
 def test_decoding_emits_labels(vocab):
     machine = compile_automaton(vocab)
     labels, at = machine.labels()

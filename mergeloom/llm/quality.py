@@ -1,7 +1,7 @@
 """Operator 5: quality by a hashed n-gram log-likelihood ratio.
 
 Word unigrams and bigrams, case and marks kept, are hashed into buckets.  One
-multinomial counts them over all documents, one over trusted documents (labelled
+multinomial counts them over all documents, one over all trusted documents (labelled
 good); a text's score is the mean log ratio of its n-grams.  Every document whose
 score is below one threshold is rejected.
 """
@@ -13,13 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mergeloom.llm.samples import labelled_sample
+from mergeloom.llm.samples import labelled_documents
 from mergeloom.llm.text import hash_spans, mix, slices, text_buffers, words
+from mergeloom.session import written
 
 BITS = 16
-LABELLED_ROWS = 10_000
 GOOD_WEIGHT = 20
 SMOOTHING = 1.0
 
@@ -79,34 +80,63 @@ def log_ratio(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return part(trusted) - part(raw)
 
 
-def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, text_col: str = "text") -> Quality:
-    """Raw counts over all documents; trusted counts and the threshold from at most `rows` labelled ones.
+def held_out_scores(col: pa.Array, trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Score of each trusted text by all trusted documents but itself."""
+    at, row, n = buckets(col)
+    size = np.bincount(row, minlength=n)
+    _, back, own = np.unique(row << BITS | at, return_inverse=True, return_counts=True)
+    others = np.log(trusted[at] - own[back] + SMOOTHING) - np.log(trusted.sum() - size + SMOOTHING * len(trusted))[row]
+    return np.bincount(row, weights=others - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * len(raw)))[at], minlength=n) / np.maximum(size, 1)
 
-    Half of the labelled documents give the trusted counts, the other half the
-    threshold: the cut that divides it best, a lost good document weighing as much as
-    `GOOD_WEIGHT` kept bad ones.  Without good or without bad labels nothing is rejected.
+
+def best_cut(scored: DataFrame) -> float:
+    """The score that divides good (label 1) from bad (0) best; -inf without good or without bad ones.
+
+    Counts below a score are running sums within bins of scores, so that no task
+    holds all of them.
+    """
+    per = scored.where("label IN (0, 1)").groupBy("score").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
+    per = per.withColumn("bin", F.floor(F.col("score") * 256))
+    bins = per.groupBy("bin").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")).toPandas().sort_values("bin")
+    n_good, n_bad = int(bins["all_good"].sum()), int(bins["all_bad"].sum())
+    if not n_good or not n_bad:
+        return float("-inf")
+    cost = GOOD_WEIGHT * (bins["all_good"].cumsum() - bins["all_good"]) - (bins["all_bad"].cumsum() - bins["all_bad"]) + n_bad
+    before = scored.sparkSession.createDataFrame([(int(b), int(c)) for b, c in zip(bins["bin"], cost)], "bin bigint, before bigint")
+    below = W.partitionBy("bin").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(GOOD_WEIGHT * F.col("good") - F.col("bad")).over(below), F.lit(0))
+    return float(per.withColumn("within", within).join(F.broadcast(before), "bin").orderBy(F.col("before") + F.col("within"), "score").first()["score"])
+
+
+def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Quality:
+    """Raw counts over all documents, trusted counts over all labelled good, the threshold from all labelled ones.
+
+    The threshold is the cut that divides the labelled documents best, a lost good one
+    weighing as much as `GOOD_WEIGHT` kept bad ones; a good one is scored without its
+    own part in the trusted counts.  Without good or without bad labels nothing is
+    rejected.
     """
-    sample = labelled_sample(spark, docs, labels, "quality", rows, text_col=text_col)
+    labelled = labelled_documents(spark, docs, labels, "quality", text_col=text_col)
     raw = count_buckets(docs.select(F.col(text_col).cast("string").alias("text")))
-    trusted = count_buckets(sample.where("half = 0 AND label = 1").select("text"))
+    trusted = count_buckets(labelled.where("label = 1").select("text"))
     model = Quality(log_ratio(trusted, raw), float("-inf"))
     if not trusted.sum():
         model.ratio = np.zeros(1 << BITS)
         return model
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model, trusted, raw))
 
     def run(batches):
+        model, trusted, raw = shared.value
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value.scores(part.column(0))[0]), part.column(1).cast(pa.int32())], ["score", "label"])
-
-    held = sample.where("half = 1").select("text", "label").mapInArrow(run, "score double, label int").toPandas()
-    good = np.sort(held["score"][held["label"] == 1].to_numpy())
-    bad = np.sort(held["score"][held["label"] == 0].to_numpy())
-    if len(good) and len(bad):
-        cuts = np.unique(np.concatenate((good, bad)))
-        lost, kept = np.searchsorted(good, cuts, side="left"), len(bad) - np.searchsorted(bad, cuts, side="left")
-        model.threshold = float(cuts[int(np.argmin(GOOD_WEIGHT * lost + kept))])
+                label = part.column(1).cast(pa.int32())
+                score = model.scores(part.column(0))[0]
+                good = label.to_numpy() == 1
+                if good.any():
+                    score[good] = held_out_scores(part.column(0).filter(pa.array(good)), trusted, raw)
+                yield pa.RecordBatch.from_arrays([pa.array(score), label], ["score", "label"])
+
+    model.threshold = best_cut(written(spark, labelled.mapInArrow(run, "score double, label int"), "scores"))
     return model
 
 

@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, for fitting."""
+"""Labelled documents, whole or as bounded samples, for fitting."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mergeloom.session import written
 
+WORDS = 1 << 18
+
 
 def fresh_name(name: str, taken) -> str:
     """`name`, lengthened until no other column has it, whatever its case."""
@@ -16,6 +18,28 @@ def fresh_name(name: str, taken) -> str:
     return name
 
 
+def _labels(labels: DataFrame, what: str, id_col: str) -> DataFrame:
+    return labels.where(F.col(id_col).isNotNull() & F.col(what).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("_id")).agg(F.max(what).alias("label"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.col("_id").isNotNull() & F.col("text").isNotNull())
+
+
+def labelled_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, what: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All labelled documents (text, label), written to the shared folder; rows are skipped as in `labelled_sample`.
+
+    A bit array of the labels' hashed ids, of bounded size, is broadcast first, so that
+    few other texts travel to the join.
+    """
+    chosen = _labels(labels, what, id_col)
+    place = F.pmod(F.xxhash64("_id"), F.lit(64 * WORDS))
+    word, bit = F.shiftright(place, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+    held = chosen.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    texts = _texts(docs, id_col, text_col).withColumn("word", word).join(F.broadcast(held), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return written(spark, texts.select("_id", "text").join(chosen.hint("merge"), "_id").select("text", "label"), "labelled")
+
+
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, what: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Up to `rows` labelled documents (text, label, half), written to the shared folder.
 
@@ -23,8 +47,6 @@ def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, wha
     or value, and documents with a null id or text, are skipped; of several labels for
     an id the largest counts.
     """
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col(what).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("_id")).agg(F.max(what).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.col("_id").isNotNull() & F.col("text").isNotNull())
+    chosen = _labels(labels, what, id_col).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).cast("int")
-    return written(spark, texts.join(F.broadcast(chosen), "_id").select("text", "label", half.alias("half")), "labelled")
+    return written(spark, _texts(docs, id_col, text_col).join(F.broadcast(chosen), "_id").select("text", "label", half.alias("half")), "labelled")

@@ -117,6 +117,26 @@ def test_quality_by_brute_force(spark):
         assert got[i].score == pytest.approx(float(np.mean(model.ratio[at]))) and got[i].keep == (got[i].score >= model.threshold)
 
 
+def test_quality_counts_all_trusted_documents(spark):
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "concat(IF(id % 3 = 0, 'poor junk', 'fine prose'), ' w', id % 997, IF(id % 3 = 0, ' end', ' and more')) AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 > 0 AS INT) AS quality")
+    model = quality.fit_quality(spark, docs, labels)
+    trusted, raw = quality.count_buckets(docs.where("doc_id % 3 > 0").select("text")), quality.count_buckets(docs.select("text"))
+    assert trusted.sum() == 8000 * 9 and np.array_equal(model.ratio, quality.log_ratio(trusted, raw))
+
+
+def test_quality_threshold_by_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit_quality(spark, docs, labels)
+    rows = docs.join(labels, "doc_id").where("text IS NOT NULL AND quality IS NOT NULL").select("text", "quality").collect()
+    grams = [np.bincount(quality.buckets(pa.array([r.text]))[0], minlength=1 << quality.BITS) for r in rows]
+    trusted, raw = sum(g for g, r in zip(grams, rows) if r.quality == 1), quality.count_buckets(docs.select("text"))
+    scores = [float(quality.log_ratio(trusted - g * r.quality, raw) @ g) / max(1, g.sum()) for g, r in zip(grams, rows)]
+    cost = {c: sum(quality.GOOD_WEIGHT * (s < c) if r.quality else s >= c for s, r in zip(scores, rows)) for c in scores}
+    assert len(set(r.quality for r in rows)) == 2
+    assert model.threshold == pytest.approx(min(cost, key=lambda c: (cost[c], c)))
+
+
 def test_quality_of_odd_documents(spark, odd_docs, no_docs, no_labels, odd_labels):
     model = quality.fit_quality(spark, odd_docs, no_labels)
     assert all(r.keep for r in quality.score_documents(odd_docs, model).collect())

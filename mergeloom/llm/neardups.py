@@ -156,7 +156,10 @@ def near_blocks(spark: SparkSession, docs: DataFrame, threshold: float = THRESHO
 
 
 def near_pairs(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_ids, jaccard): documents of which every two reach that index, all pairs covered.
+    """(doc_ids, jaccard): documents of which every two reach that index.
+
+    Only pairs linked, directly or through others, by shared bands are compared: one
+    at the threshold is missed with probability 0.005, so not all pairs are covered.
 
     A row joins two classes of documents with equal sets, or holds one class alone
     (index 1.0).  Rows with a null id or text, and texts without a word, pair with

@@ -11,13 +11,16 @@ from mergeloom.session import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, group): the least node of each node's component; edges are (a, b).
 
-    Least labels spread along edges and are followed to their own label in each
-    round, so rounds grow with the logarithm of the longest chain at most; each
-    round's labels are a table in the shared folder.
+    In each round least labels spread along edges and are followed to their own label;
+    each round's labels are a table in the shared folder.  Edges here are mostly stars,
+    which take two or three rounds; a chain whose ids are in no order may take more.
+    Edges with a null end join nothing.
     """
     spark = edges.sparkSession
     edges = edges.where("a <> b").select("a", "b")
     both = written(spark, edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("group"))
     labels = written(spark, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("group")).select(F.col("a").alias("node"), "group"), "labels")
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("group").alias("_seen"))

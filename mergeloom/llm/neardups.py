@@ -1,18 +1,19 @@
 """Operator 4: n-gram Jaccard join with signature trees.
 
-All pairs of documents whose sets of word 3-grams have a Jaccard index of at least
-the threshold.  Words are runs of letters, digits and non-ASCII characters of the
-lower-cased text; a text of fewer than three words is one gram.
-
-1. A task turns a text into its set's size, a hash of the set, and minwise bands.
-2. Documents with equal sets are one class from here on.
-3. Classes that share a band are compared by their minwise sketches; those that may
-   reach the threshold are linked, and linked classes are one block.
+Documents whose sets of word 3-grams have a Jaccard index of at least the threshold are
+linked.  Words are runs of letters, digits and non-ASCII characters of the lower-cased
+text; a text of fewer than three words is one gram.
+
+1. A task turns a text into its set's size and hash, a minwise sketch, and bands.
+2. Documents with equal sets are one class from here on, named by the set's hash.
+3. Classes that share a band are compared by their sketches; those that may reach the
+   threshold are joined, and connected classes are one block.
 4. A block's full sets meet once, in a signature tree whose dual traversal and exact
-   counts give its pairs.  A large block is cut into parts and every pair of parts
-   is a block of its own.
+   counts give its links.  A large block is cut into parts and every pair of parts is
+   a block of its own, joined tree against tree.
 
-Bands find a pair at the threshold with probability 0.995, one at 0.6 with 0.9999.
+Bands and sketches miss a pair at the threshold with probability 0.000002 and less
+above it; whatever they bring together is exact.
 """
 
 from __future__ import annotations
@@ -23,19 +24,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.columns import gather_lists
 from mergeloom.llm.graphs import components
-from mergeloom.llm.samples import fresh_name
-from mergeloom.llm.sigtree import join_block
-from mergeloom.llm.text import MULT, hash_spans, mix, slices, text_buffers, words
+from mergeloom.llm.sigtree import join_block, link_block
+from mergeloom.llm.text import MULT, SPREAD, hash_spans, mix, slices, text_buffers, words
 from mergeloom.session import written
 
 GRAM = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 40, 3
-SKETCH = BANDS * ROWS
+BANDS, ROWS = 48, 2
+SKETCH = 120
 SLACK = 0.22
-BLOCK_DOCS = 4_000
+LINK_CLASSES = 4_000
+LINK_ROWS = 20_000
+BLOCK_CLASSES = 4_000
+_FACTORS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(SPREAD)) | np.uint64(1)
 
 
 def gram_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,156 +69,243 @@ def set_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One-permutation minwise values, `SKETCH` a set; an empty bin borrows from a hashed other bin."""
-    n = len(bounds) - 1
-    row = np.repeat(np.arange(n), np.diff(bounds))
-    empty = np.uint64((1 << 64) - 1)
-    out = np.full(n * SKETCH, empty, dtype=np.uint64)
-    np.minimum.at(out, row * SKETCH + (values % np.uint64(SKETCH)).astype(np.int64), values // np.uint64(SKETCH))
-    out = out.reshape(n, SKETCH)
-    filled = out != empty
-    has = filled.any(axis=1)
-    source = np.tile(np.arange(SKETCH), (n, 1))
-    bins = np.arange(SKETCH, dtype=np.uint64)
-    for attempt in range(1, 100):
-        want = has & ~filled[np.arange(n)[:, None], source].all(axis=1)
-        if not want.any():
-            break
-        other = (mix(bins * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(SKETCH)).astype(np.int64)
-        rows = np.flatnonzero(want)
-        open_ = ~filled[rows[:, None], source[rows]]
-        source[rows] = np.where(open_, other[None, :], source[rows])
-    left = ~filled[np.arange(n)[:, None], source]
-    source = np.where(left, filled.argmax(axis=1)[:, None], source)
-    return out[np.arange(n)[:, None], source]
+    """`SKETCH` independent minwise values of each set; sets must not be empty."""
+    out = np.empty((SKETCH, len(bounds) - 1), dtype=np.uint64)
+    if out.shape[1]:
+        held = np.empty_like(values)
+        for k, factor in enumerate(_FACTORS):
+            np.multiply(values, factor, out=held)
+            np.minimum.reduceat(held, bounds[:-1], out=out[k])
+    return out.T
+
+
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a matrix of bytes."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
 def _signatures(batches):
+    """(doc_id, text_key, whole, size, bands, sketch) of every row; what has no word has no set."""
     for batch in batches:
         for part in slices(batch):
-            values, bounds = gram_sets(part.column(1))
+            values, bounds = gram_sets(part.column(2))
             size = np.diff(bounds)
             some = np.flatnonzero(size > 0)
             whole = set_hashes(values, bounds)
-            sketch = sketches(values, bounds)[some]
+            at = np.concatenate((bounds[:-1][some], bounds[-1:]))
+            sketch = sketches(values, at)
             bands = np.zeros((len(some), BANDS), dtype=np.uint64)
             for r in range(ROWS):
-                bands = bands * np.uint64(MULT) + mix(sketch[:, r::ROWS] + np.uint64(r))
+                bands = bands * np.uint64(MULT) + mix(sketch[:, r * BANDS : (r + 1) * BANDS] + np.uint64(r))
             bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
             short = (mix(sketch) & np.uint64(255)).astype(np.uint8)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-            tight = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((np.arange(len(some) + 1, dtype=np.int32) * SKETCH).tobytes()), pa.py_buffer(short.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(size[some].astype(np.int32)), pa.array(whole[some].view(np.int64)), lists, tight], ["doc_id", "size", "whole", "bands", "sketch"])
+            n = len(some)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
+            held = np.where(size > 0, np.cumsum(size > 0) - 1, -1)
+            take = pa.array(held, mask=held < 0)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(whole.view(np.int64), mask=size == 0), pa.array(size.astype(np.int32)), lists.take(take), _blobs(short).take(take)],
+                ["doc_id", "text_key", "whole", "size", "bands", "sketch"],
+            )
 
 
-def _link(table: pa.Table, threshold: float) -> pa.Table:
-    """Star edges of the classes of one band that may be similar, by size and sketch."""
-    if table.num_rows < 2:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    table = table.sort_by([("size", "ascending"), ("doc_id", "ascending")])
-    ids = table.column("doc_id").to_numpy()
-    size = table.column("size").to_numpy()
-    rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
-    label = np.arange(len(ids))
-    need = (threshold - SLACK) * SKETCH
+MARKS = "doc_id bigint, text_key bigint, whole bigint, size int, bands array<bigint>, sketch binary"
+EDGES = "a bigint, b bigint"
+
+
+def _similar(one: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    return (others == one).sum(axis=-1) >= (threshold - SLACK) * SKETCH
+
+
+def _link_small(size, sketch, bucket, threshold: float):
+    """Pairs (places) of classes of one bucket that may be similar; rows come in order of bucket and size."""
+    for k in range(1, len(bucket)):
+        i = np.flatnonzero(bucket[k:] == bucket[:-k])
+        if not len(i):
+            return
+        i = i[size[i + k] * threshold <= size[i]]
+        near = _similar(sketch[i], sketch[i + k], threshold)
+        yield i[near], i[near] + k
+
+
+def _link_large(size, sketch, part, threshold: float):
+    """The same for one large bucket, without what is linked already; `part` is None or 0 and 1, to be linked across."""
+    label = np.arange(len(size))
     stop = np.searchsorted(size, size / threshold, side="right")
-    for i in range(len(ids) - 1):
-        # what is linked already needs no comparison: copies of one text cost one pass
+    for i in range(len(size) - 1):
         other = i + 1 + np.flatnonzero(label[i + 1 : stop[i]] != label[i])
-        near = other[(rows[other] == rows[i]).sum(axis=1) >= need]
+        if part is not None:
+            other = other[part[other] != part[i]]
+        near = other[_similar(sketch[i], sketch[other], threshold)]
         if len(near):
             linked = np.unique(np.append(label[near], label[i]))
             label[np.isin(label, linked)] = linked[0]
-    order = np.lexsort((ids, label))
-    heads = np.r_[True, label[order][1:] != label[order][:-1]]
-    least = ids[order][np.maximum.accumulate(np.where(heads, np.arange(len(ids)), 0))]
-    return pa.table({"a": least[~heads], "b": ids[order][~heads]})
+    rest = np.flatnonzero(label != np.arange(len(label)))
+    return label[rest], rest
 
 
-def near_blocks(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"):
-    """(classes, blocks): classes (doc_id, members) by least member, blocks (doc_id, block, part, parts)."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    marks = written(spark, rows.mapInArrow(_signatures, "doc_id bigint, size int, whole bigint, bands array<bigint>, sketch binary"), "sketches")
-    one = marks.groupBy("doc_id").agg(F.min("whole").alias("whole"))
-    classes = one.groupBy("whole").agg(F.array_sort(F.collect_set("doc_id")).alias("members"))
-    classes = written(spark, classes.select(F.col("members")[0].alias("doc_id"), "members", "whole"), "classes")
-    first = marks.join(classes.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi")
-    band = first.select("doc_id", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.collect_set("doc_id").alias("ids")).where(F.size("ids") > 1)
-    # a set of classes that meets in several bands is compared once
-    met = shared.select(F.array_sort("ids").alias("ids")).distinct().select(F.monotonically_increasing_id().alias("bucket"), "ids")
-    met = written(spark, met, "met").select("bucket", F.explode("ids").alias("doc_id"))
-    full = met.join(classes.select("doc_id", "whole"), "doc_id").join(marks.select("doc_id", "whole", "size", "sketch").dropDuplicates(["doc_id", "whole"]), ["doc_id", "whole"])
-    edges = full.groupBy("bucket").applyInArrow(lambda t: _link(t, threshold), "a bigint, b bigint")
-    groups = components(edges)
-    sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
-    blocks = groups.join(sizes, "group").select(F.col("node").alias("doc_id"), F.col("group").alias("block"), parts.alias("parts"))
-    return rows, classes, blocks.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+def _link(table: pa.Table, threshold: float) -> pa.Table:
+    """Edges between the classes of each bucket that may be similar, by size and sketch."""
+    table = table.sort_by([(c, "ascending") for c in ("bucket", "low", "high", "size", "whole")])
+    column = lambda c: table.column(c).to_numpy()
+    ids, size, part, low, high = (column(c) for c in ("whole", "size", "part", "low", "high"))
+    same = np.stack((column("bucket"), low, high), axis=1)
+    same = np.cumsum(np.r_[False, (same[1:] != same[:-1]).any(axis=1)])
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+    n = np.bincount(same)[same]
+    few = np.flatnonzero((n <= 8) & (low == high))
+    found = [(few[a], few[b]) for a, b in _link_small(size[few], sketch[few], same[few], threshold)]
+    for k in np.unique(same[(n > 8) | (low != high)]).tolist():
+        rows = np.flatnonzero(same == k)
+        a, b = _link_large(size[rows], sketch[rows], part[rows] if low[rows[0]] != high[rows[0]] else None, threshold)
+        found.append((rows[a], rows[b]))
+    a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
+    return pa.table({"a": ids[a], "b": ids[b]})
 
 
-def near_pairs(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_ids, jaccard): documents of which every two reach that index.
+def _row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
 
-    Only pairs linked, directly or through others, by shared bands are compared: one
-    at the threshold is missed with probability 0.005, so not all pairs are covered.
+def _paired(df: DataFrame, key: str) -> DataFrame:
+    """Each row for every pair (low, high) of parts that its own part belongs to."""
+    df = df.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_other")
+    return df.select("*", other).withColumns({"low": F.least("part", "_other"), "high": F.greatest("part", "_other")}).drop("_other")
 
-    A row joins two classes of documents with equal sets, or holds one class alone
-    (index 1.0).  Rows with a null id or text, and texts without a word, pair with
-    nothing; rows that share an id count once each but never pair with themselves;
-    other columns are not read.
+
+def near_blocks(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"):
+    """(marks, classes, held).
+
+    marks are rows (doc_id, text_key, whole, ...) of all documents, whole null where there is no word;
+    classes (whole, rep, n) have their first row and number of rows; held are the grams of classes that
+    may have links, (whole, n, grams, block, part, low, high).
     """
-    rows, classes, blocks = near_blocks(spark, docs, threshold, id_col, text_col)
-    inside = blocks.join(classes, "doc_id")
+    rows = _row(docs, id_col, text_col)
+    marks = written(spark, rows.mapInArrow(_signatures, MARKS), "sketches")
+    first = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_key")
+    # rows of a class differ in id and text only; tasks reduce theirs before they are sent
+    sets = marks.where("whole IS NOT NULL").groupBy("whole").agg(F.min(first).alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = written(spark, sets, "classes")
+    band = classes.select("whole", F.explode("bands").alias("bucket"))
+    met = band.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("whole")).alias("of"), F.min("whole").alias("least")).where("m > 1")
+    # classes that meet in several bands are compared in one
+    met = met.groupBy("m", "of", "least").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / LINK_CLASSES).cast("int").alias("parts"))
+    members = written(spark, _paired(band.join(met, "bucket"), "whole"), "members")
+    shards = max(1, -(-members.count() // LINK_ROWS))
+    full = members.join(classes.select("whole", "size", "sketch"), "whole").withColumn("shard", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(shards)))
+    groups = components(full.groupBy("shard").applyInArrow(lambda t: _link(t, threshold), EDGES))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("m"))
+    blocks = groups.join(sizes, "group").select(F.col("node").alias("whole"), F.col("group").alias("block"), F.ceil(F.col("m") / BLOCK_CLASSES).cast("int").alias("parts"))
+    inside = classes.select("whole", "rep", "n").join(blocks, "whole")
 
-    def sets(batches):
+    def sets_of(batches):
         for batch in batches:
             for part in slices(batch):
-                values, bounds = gram_sets(part.column(1))
-                # of rows that share an id, the one whose set made the class
-                rows = np.flatnonzero(set_hashes(values, bounds).view(np.int64) == part.column(2).to_numpy(zero_copy_only=False))
-                part, sizes = part.take(pa.array(rows)), np.diff(bounds)[rows]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(gather_lists(bounds[rows], sizes, values).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, *(part.column(k) for k in range(3, 7))], ["doc_id", "grams", "block", "part", "parts", "members"])
-
-    held = rows.join(inside, "doc_id").select("doc_id", "text", "whole", "block", "part", "parts", "members")
-    held = held.mapInArrow(sets, "doc_id bigint, grams array<bigint>, block bigint, part int, parts int, members array<bigint>")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    held = held.select("*", other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+                values, bounds = gram_sets(part.column(0))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([lists, *part.columns[1:]], ["grams", "whole", "n", "block", "parts"])
+
+    rep = inside.select(F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key"), "whole", "n", "block", "parts")
+    found = rows.join(rep, (rows["text_key"] == rep["_key"]) & rows["doc_id"].eqNullSafe(rep["_id"])).select("text", "whole", "n", "block", "parts")
+    held = found.mapInArrow(sets_of, "grams array<bigint>, whole bigint, n bigint, block bigint, parts int")
+    return marks, classes.select("whole", "rep", "n"), _paired(held, "whole")
+
+
+def _block(table: pa.Table):
+    """(hashes of classes, rows in them, values, bounds, side) of a block, ordered; repeated rows count once."""
+    table = table.sort_by("whole").combine_chunks()
+    ids = table.column("whole").to_numpy()
+    if (ids[1:] == ids[:-1]).any():
+        table = table.filter(pa.array(np.r_[True, ids[1:] != ids[:-1]])).combine_chunks()
+        ids = table.column("whole").to_numpy()
+    grams = table.column("grams").chunk(0)
+    values = grams.flatten().to_numpy().view(np.uint64)
+    bounds = np.concatenate(([0], np.cumsum(grams.value_lengths().to_numpy()))).astype(np.int64)
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    side = None if low == high else (table.column("part").to_numpy() == high).astype(np.int64)
+    return ids, table.column("n").to_numpy(), values, bounds, side
+
+
+def near_pairs(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, other_id, jaccard): pairs of different sets that reach the index, by the least ids that have them.
+
+    A pair at the threshold is missed with probability 0.000002.  Documents with equal
+    sets aren't paired here: `near_groups` has their classes.  Null and empty texts,
+    and texts without a word, pair with nothing; a null id stands for a class all of
+    whose rows have none; rows that share an id are documents of their own.
+    """
+    _, classes, held = near_blocks(spark, docs, threshold, id_col, text_col)
 
     def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id").combine_chunks()
-        ids = table.column("doc_id").to_numpy()
-        if (ids[1:] == ids[:-1]).any():  # repeated rows
-            table = table.filter(pa.array(np.r_[True, ids[1:] != ids[:-1]])).combine_chunks()
-            ids = table.column("doc_id").to_numpy()
-        grams = table.column("grams").chunk(0) if table.column("grams").num_chunks else pa.array([], pa.list_(pa.int64()))
-        values = grams.flatten().to_numpy().view(np.uint64)
-        bounds = np.concatenate(([0], np.cumsum(grams.value_lengths().to_numpy())))
-        part = table.column("part").to_numpy()
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        a, b, jaccard = join_block(values, bounds, threshold, lambda x, y: (ids[x] != ids[y]) & ((low == high) | (part[x] != part[y])))
-        members = table.column("members").chunk(0)
-        flat = members.flatten().to_numpy()
-        n = members.value_lengths().to_numpy().astype(np.int64)
-        at = np.cumsum(n) - n
-        which = np.stack((a, b), axis=1).ravel()
-        out = gather_lists(at[which], n[which], flat)
-        ends = np.concatenate(([0], np.cumsum(n[a] + n[b])))
-        return pa.table({"doc_ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out)), "jaccard": jaccard})
-
-    pairs = held.groupBy("block", "low", "high").applyInArrow(join, "doc_ids array<bigint>, jaccard double")
-    alone = classes.where(F.size("members") > 1).select(F.col("members").alias("doc_ids"), F.lit(1.0).alias("jaccard"))
-    return pairs.select(F.array_sort("doc_ids").alias("doc_ids"), "jaccard").union(alone)
+        ids, _, values, bounds, side = _block(table)
+        a, b, jaccard = join_block(values, bounds, threshold, side)
+        return pa.table({"a": ids[a], "b": ids[b], "jaccard": jaccard})
+
+    pairs = held.groupBy("block", "low", "high").applyInArrow(join, "a bigint, b bigint, jaccard double")
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("whole").alias(end), F.col("rep.doc_id").alias(f"_{end}")), end)
+    other = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest("_a", "_b"))
+    return pairs.select(F.least("_a", "_b").alias("doc_id"), other.alias("other_id"), "jaccard")
+
+
+def _groups(spark: SparkSession, docs: DataFrame, threshold: float, id_col: str, text_col: str):
+    """(marks, groups): groups (whole, group, links, n, rep) of the classes that have links."""
+    marks, classes, held = near_blocks(spark, docs, threshold, id_col, text_col)
+
+    def join(table: pa.Table) -> pa.Table:
+        ids, n, values, bounds, side = _block(table)
+        links, root = link_block(values, bounds, n, threshold, side)
+        some = np.flatnonzero(links)
+        return pa.table({"a": ids[some], "b": ids[root[some]], "links": links[some], "cut": pa.array([table.column("parts")[0].as_py() > 1] * len(some), pa.bool_())})
+
+    links = written(spark, held.groupBy("block", "low", "high").applyInArrow(join, EDGES + ", links bigint, cut boolean"), "links")
+    total = links.groupBy(F.col("a").alias("whole")).agg(F.sum("links").alias("links"))
+    # a block that isn't cut has its components whole
+    groups = links.where("NOT cut").select(F.col("a").alias("whole"), F.col("b").alias("group"))
+    groups = groups.union(components(links.where("cut")))
+    return marks, total.join(groups, "whole"), classes
+
+
+def near_groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links) of every row: its class of near copies and how many other rows it reaches the index with.
+
+    A class is connected by links, and is named by the least id in it (null if none of
+    its rows has one).  A null or empty text, or one without a word, has no links and is
+    a class of its own; rows that share an id, repeated rows and rows without an id are
+    documents like any other; other columns are not read.  A link at the threshold is
+    missed with probability 0.000002.
+    """
+    marks, linked, classes = _groups(spark, docs, threshold, id_col, text_col)
+    named = classes.join(linked, "whole", "left").withColumn("group", F.coalesce("group", "whole"))
+    named = written(spark, named.select("whole", "group", F.col("rep.doc_id").alias("_least"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")).where("n_links > 0"), "named")
+    least = named.groupBy("group").agg(F.min("_least").alias("class_id"))
+    info = named.join(least, "group").select("whole", "n_links", "class_id", F.lit(True).alias("_in"))
+    out = marks.select("doc_id", "whole").join(info, "whole", "left")
+    return out.select("doc_id", F.when(F.col("_in"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without near copies of smaller id: of each group of connected pairs the least id stays.
+    """One document of each class of near copies: that of the least id.
 
-    Rows keep all their columns; rows with a null id or text stay.
+    Rows without an id come last, and of rows that share an id that with the least hash
+    of the text.  Of repeated rows one stays (if other columns differ, the one of the
+    least hash).  Rows keep all their columns; those with a null or empty text, or
+    without a word, stay.
     """
-    pairs = near_pairs(spark, docs, threshold)
-    star = pairs.select(F.col("doc_ids")[0].alias("a"), F.explode("doc_ids").alias("b"))
-    key = fresh_name("_gone", docs.columns)
-    gone = components(star).where("node <> group").select(F.col("node").alias(key))
-    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
+    marks, linked, _ = _groups(spark, docs, threshold, "doc_id", "text")
+    names = docs.columns
+    at = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_key")
+    rows = marks.where("whole IS NOT NULL").select("whole", at.alias("at")).join(linked.select("whole", "group"), "whole", "left")
+    rows = written(spark, rows.select(F.coalesce("group", "whole").alias("group"), "at"), "rows")
+    best = rows.groupBy("group").agg(F.min("at").alias("best"), F.count("*").alias("m")).where("m > 1").drop("m")
+    met = rows.join(best, "group").groupBy("at").agg(F.max(F.col("at") == F.col("best")).alias("best"), F.count("*").alias("m"))
+    met = written(spark, met.where("NOT best OR m > 1").select(F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_key"), "best"), "gone")
+    key = F.xxhash64(docs["text"].cast("string"))
+    on = lambda other: (key == other["_key"]) & docs["doc_id"].cast("bigint").eqNullSafe(other["_id"])
+    kept = docs.join(met, on(met), "left_anti")
+    again = met.where("best")
+    packed = docs.join(again, on(again), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.xxhash64("doc_id", "text").alias("is"), F.xxhash64(*(F.col(f"`{c}`") for c in names)).alias("by"))
+    return kept.unionByName(packed.groupBy("is").agg(F.min_by("row", "by").alias("row")).select("row.*"))

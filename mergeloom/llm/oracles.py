@@ -9,13 +9,17 @@ from mergeloom.plans.oracles import counted, encoded
 #: Runs of ASCII letters and digits and of anything that isn't ASCII.
 WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
-JACCARD = f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, greatest(len(w) - 2, 1) + 1)])) AS grams FROM w WHERE len(w) > 0),
-classes AS MATERIALIZED (SELECT min(doc_id) AS rep, list_sort(list(doc_id)) AS members, any_value(len(grams)) AS n, grams FROM g GROUP BY grams),
-flat AS MATERIALIZED (SELECT rep, unnest(grams) AS gram FROM classes),
-shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS k FROM flat a JOIN flat b ON a.gram = b.gram AND a.rep < b.rep GROUP BY a.rep, b.rep)
-SELECT list_sort(x.members || y.members) AS doc_ids, k / (x.n + y.n - k) AS jaccard FROM shared JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE k / (x.n + y.n - k) >= {THRESHOLD}
-UNION ALL SELECT members, 1.0 FROM classes WHERE len(members) > 1"""
+JACCARD = f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+g AS MATERIALIZED (SELECT r, doc_id, list_sort(list_distinct([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, greatest(len(w) - 2, 1) + 1)])) AS grams FROM w WHERE len(w) > 0),
+classes AS MATERIALIZED (SELECT min(r) AS c, min(doc_id) AS least, count(*) AS m, any_value(len(grams)) AS n, grams FROM g GROUP BY grams),
+flat AS MATERIALIZED (SELECT c, unnest(grams) AS gram FROM classes),
+shared AS MATERIALIZED (SELECT a.c AS a, b.c AS b, count(*) AS k FROM flat a JOIN flat b ON a.gram = b.gram AND a.c <> b.c GROUP BY a.c, b.c),
+links AS MATERIALIZED (SELECT a, b, y.m FROM shared JOIN classes x ON x.c = a JOIN classes y ON y.c = b WHERE k / (x.n + y.n - k) >= {THRESHOLD}),
+reach AS (SELECT c, c AS other FROM classes UNION SELECT reach.c, links.b FROM reach JOIN links ON links.a = reach.other),
+named AS (SELECT reach.c, min(least) AS class_id FROM reach JOIN classes o ON o.c = reach.other GROUP BY reach.c),
+counted AS (SELECT a AS c, sum(m)::BIGINT AS n FROM links GROUP BY a),
+info AS (SELECT classes.grams, class_id, coalesce(counted.n, 0) + m - 1 AS n_links FROM classes JOIN named USING (c) LEFT JOIN counted USING (c))
+SELECT w.doc_id, CASE WHEN info.grams IS NULL THEN w.doc_id ELSE class_id END AS class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM w LEFT JOIN g ON g.r = w.r LEFT JOIN info ON info.grams = g.grams"""
 
 PASSAGES = f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 windows AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + {PASSAGE}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - {PASSAGE - 1})) AS i FROM w)),

@@ -31,7 +31,7 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardups.near_pairs(spark, _table(spark, sf_dir, "documents"))
+    return neardups.near_groups(spark, _table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

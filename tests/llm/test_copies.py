@@ -7,7 +7,7 @@ import pytest
 
 from mergeloom.llm import neardups, passages, suffixes
 from mergeloom.llm.graphs import components
-from mergeloom.llm.sigtree import join_block
+from mergeloom.llm.sigtree import Block, join_block, link_block
 
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -17,23 +17,46 @@ def grams(text):
     return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
 
 
-def brute_pairs(texts, threshold=neardups.THRESHOLD):
-    sets = [(i, grams(t)) for i, t in texts if i is not None and t is not None]
-    out = {}
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[k + 1 :]:
-            if a and b and i != j and len(a & b) / len(a | b) >= threshold:
-                out[min(i, j), max(i, j)] = len(a & b) / len(a | b)
-    return out
-
-
-def as_pairs(rows):
-    out = {}
-    for r in rows:
-        for a in range(len(r.doc_ids)):
-            for b in range(a + 1, len(r.doc_ids)):
-                out.setdefault((r.doc_ids[a], r.doc_ids[b]), []).append(r.jaccard)
-    return {k: max(v) for k, v in out.items()}
+def brute_groups(rows, threshold=neardups.THRESHOLD):
+    """Sorted (doc_id, class_id, n_links) and, by place, the class's least place."""
+    sets = [grams(t or "") for _, t in rows]
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for x in range(len(rows)):
+        for y in range(x + 1, len(rows)):
+            if sets[x] and sets[y] and len(sets[x] & sets[y]) >= threshold * len(sets[x] | sets[y]):
+                links[x] += 1
+                links[y] += 1
+                root[max(find(x), find(y))] = min(find(x), find(y))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(find(k), []).append(i)
+    least = {k: min((i for i in v if i is not None), default=None) for k, v in least.items()}
+    return ordered((i, least[find(k)], links[k]) for k, (i, _) in enumerate(rows)), [find(k) for k in range(len(rows))]
+
+
+def ordered(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: [(x is None, x) for x in r])
+
+
+def brute_pairs(rows, threshold=neardups.THRESHOLD):
+    """Pairs of different sets by the least ids that have them."""
+    least = {}
+    for i, t in rows:
+        if g := frozenset(grams(t or "")):
+            least.setdefault(g, []).append(i)
+    least = [(g, min((i for i in v if i is not None), default=None)) for g, v in least.items()]
+    out = []
+    for k, (a, i) in enumerate(least):
+        for b, j in least[k + 1 :]:
+            if len(a & b) >= threshold * len(a | b):
+                out.append((*sorted((i, j), key=lambda x: (x is None, x)), round(len(a & b) / len(a | b), 9)))
+    return ordered(out)
 
 
 @pytest.fixture(scope="module")
@@ -52,18 +75,38 @@ def corpus(spark):
     return rows
 
 
-def test_pairs_by_brute_force(spark, corpus):
+def test_groups_by_brute_force(spark, corpus):
     docs = spark.createDataFrame(corpus, "doc_id bigint, text string")
-    want, got = brute_pairs(corpus), as_pairs(neardups.near_pairs(spark, docs).collect())
-    assert set(got) <= set(want)
-    assert len(got) >= 0.98 * len(want)
+    assert ordered(neardups.near_groups(spark, docs).collect()) == brute_groups(corpus)[0]
+    got = ordered((r.doc_id, r.other_id, round(r.jaccard, 9)) for r in neardups.near_pairs(spark, docs).collect())
+    assert got == brute_pairs(corpus)
 
 
-def test_large_blocks_are_cut_exactly(spark, corpus, monkeypatch):
+def test_large_buckets_and_blocks_are_cut_exactly(spark, corpus, monkeypatch):
     docs = spark.createDataFrame(corpus, "doc_id bigint, text string")
-    whole = as_pairs(neardups.near_pairs(spark, docs).collect())
-    monkeypatch.setattr(neardups, "BLOCK_DOCS", 4)
-    assert as_pairs(neardups.near_pairs(spark, docs).collect()).keys() == whole.keys()
+    monkeypatch.setattr(neardups, "BLOCK_CLASSES", 4)
+    monkeypatch.setattr(neardups, "LINK_CLASSES", 3)
+    assert ordered(neardups.near_groups(spark, docs).collect()) == brute_groups(corpus)[0]
+
+
+def long_rows():
+    """Ids that are shared by, and missing from, long texts, some copies and near copies of others."""
+    rng = random.Random(5)
+    text = {k: " ".join(f"{k}{rng.randrange(900)}" for _ in range(200)) for k in "ABCD"}
+    near = text["D"].replace(" ", " new ", 1)
+    return [(1, text["C"]), (8, text["C"]), (8, text["B"]), (2, text["B"]), (8, text["A"]), (None, text["A"]), (9, text["D"]), (9, near), (9, text["D"]), (None, near), (None, near), (3, text["A"] + " more")]
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_shared_ids_and_long_texts(spark, turn):
+    rows = long_rows()[::turn]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want, root = brute_groups(rows)
+    assert ordered(neardups.near_groups(spark, docs).collect()) == want
+    kept = [(r.doc_id, r.text) for r in neardups.one_of_each(spark, docs).collect()]
+    assert len(kept) == len(set(root)) == 4 and set(kept) <= set(rows)
+    assert sorted(i for i, _ in kept) == [1, 2, 3, 9]
+    assert {root[rows.index(k)] for k in kept} == set(root)
 
 
 def test_trees_by_brute_force():
@@ -77,41 +120,50 @@ def test_trees_by_brute_force():
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
         values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
         for threshold in (0.1, 0.5, 1.0):
-            a, b, j = join_block(values, bounds, threshold)
+            side = rng.integers(0, 2, len(sets)) if rng.random() < 0.5 else None
+            a, b, j = join_block(values, bounds, threshold, side)
             got = {(int(x), int(y)): float(z) for x, y, z in zip(a, b, j)}
             want = {}
             for x in range(len(sets)):
                 for y in range(x + 1, len(sets)):
                     s = len(np.intersect1d(sets[x], sets[y]))
                     v = s / (len(sets[x]) + len(sets[y]) - s)
-                    if v >= threshold:
+                    if v >= threshold and (side is None or side[x] != side[y]):
                         want[x, y] = v
             assert got == pytest.approx(want)
+            weight = rng.integers(1, 9, len(sets))
+            links, root = link_block(values, bounds, weight, threshold, side)
+            label = list(range(len(sets)))
+            for x, y in want:
+                label = [min(label[x], label[y]) if v in (label[x], label[y]) else v for v in label]
+            assert links.tolist() == [sum(weight[y if x == k else x] for x, y in want if k in (x, y)) for k in range(len(sets))]
+            assert root.tolist() == label
+
+
+def test_near_copies_are_accepted_whole():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 60)
+    sets = [np.unique(np.append(base, rng.integers(0, 1 << 62, 4))).astype(np.uint64) for _ in range(700)]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+    block = Block(np.concatenate(sets), bounds)
+    assert all(sure for sure, *_ in block.found(0.5))
+    links, root = link_block(np.concatenate(sets), bounds, np.full(700, 2), 0.5)
+    assert (links == 2 * 699).all() and not root.any()
 
 
 def test_one_of_each_group_stays(spark, corpus):
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in corpus], "doc_id bigint, text string, _gone string, a bigint")
-    group = {i: i for i, _ in corpus}
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for a, b in as_pairs(neardups.near_pairs(spark, docs).collect()):
-        x, y = root(a), root(b)
-        group[max(x, y)] = min(x, y)
     kept = neardups.one_of_each(spark, docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i in group if root(i) == i}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute_groups(corpus)[0]})
 
 
 def test_odd_documents(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    want = brute_pairs(dict.fromkeys(rows))
-    assert set(as_pairs(neardups.near_pairs(spark, odd_docs).collect())) == set(want)
-    assert neardups.one_of_each(spark, odd_docs).count() == odd_docs.count()
-    assert neardups.near_pairs(spark, no_docs).count() == neardups.one_of_each(spark, no_docs).count() == 0
+    assert ordered(neardups.near_groups(spark, odd_docs).collect()) == brute_groups(rows)[0]
+    kept = neardups.one_of_each(spark, odd_docs)
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 1  # of two equal rows one stays
+    assert neardups.near_groups(spark, no_docs).count() == neardups.near_pairs(spark, no_docs).count() == neardups.one_of_each(spark, no_docs).count() == 0
 
 
 def test_components(spark):
@@ -223,7 +275,18 @@ def test_odd_passages(spark, odd_docs, no_docs):
 
 def test_sketches_of_small_sets():
     values = np.array([5, 9], dtype=np.uint64)
-    out = neardups.sketches(values, np.array([0, 1, 1, 2]))
-    assert (out[0] == 5 // neardups.SKETCH).all() and len(out) == 3
+    out = neardups.sketches(values, np.array([0, 1, 2]))
+    assert out.shape == (2, neardups.SKETCH) and (out[0] == np.uint64(5) * neardups._FACTORS).all()
+    both = neardups.sketches(values, np.array([0, 2]))
+    assert (both == np.minimum(out[0], out[1])).all()
     g, bounds = neardups.gram_sets(pa.array(["a b c a b c a", "", None, "x", "A, b; C"], pa.string()))
     assert np.diff(bounds).tolist() == [3, 0, 0, 1, 1]
+
+
+def test_sketches_tell_similarity():
+    rng = np.random.default_rng(1)
+    for n in (2, 30, 3000):
+        values = rng.integers(0, 1 << 63, 3 * n).astype(np.uint64)
+        pairs = [np.sort(values[: 2 * n]), np.sort(values[n:])]  # one third is shared
+        out = neardups.sketches(np.concatenate(pairs), np.array([0, 2 * n, 4 * n]))
+        assert 20 <= (out[0] == out[1]).sum() <= 60

@@ -31,6 +31,7 @@ def ship(spark: SparkSession) -> None:
     out.write(data.getvalue())
     out.close()
     sc.addPyFile(path.toString())
+    _drop_at_exit(sc, path.toString())
     _SHIPPED.add(sc.applicationId)
 
 
@@ -45,24 +46,36 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(named)
-        return named
+        return _qualified(sc, named)
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
-        return at.get()
+        return _qualified(sc, at.get())
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="mergeloom-checkpoints-")
     sc.setCheckpointDir(made)
-    return made
+    return _qualified(sc, made)
+
+
+def _qualified(sc, folder: str) -> str:
+    """With the scheme of the file system that Hadoop would take for it."""
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _drop_at_exit(sc, path: str) -> None:
+    path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors.
 
-    The tables stay as long as the cluster keeps the folder; results may still read them.
+    Results may still read the tables, so they go when the driver's JVM ends.
     """
     path = f"{shared_dir(spark).rstrip('/')}/mergeloom-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    _drop_at_exit(spark.sparkContext, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

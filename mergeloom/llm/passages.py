@@ -7,10 +7,12 @@ that occurs twice anywhere is found:
 1. Each window is keyed by the least and the greatest hash of the 8-grams in it.
    Equal windows have equal keys; windows whose key occurs in one run only are
    done, unless the run may repeat itself.
-2. The rest goes, with its words, to the shard of its least 8-gram: equal windows
-   meet in one shard.
+2. Runs of the other windows of one key are snippets.  Equal snippets are reduced to
+   one before they are sent, with the place that comes first; equal windows that are
+   left meet in the shard of their key.
 3. A shard is sorted by external induced sorting (`suffixes`); neighbours in its
    suffix array that share 50 words are the same window.
+4. What a snippet's windows turn out to be is joined back to all its places.
 
 A shard's queues spool to the shared folder beyond a memory limit.
 """
@@ -21,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mergeloom.functions.columns import gather_lists
@@ -99,15 +100,15 @@ def _keys(batches):
             key = mix(low[at] * np.uint64(31) + high[at]).view(np.int64)
             n = np.diff(np.append(at, len(start)))
             again = np.logical_or.reduceat(again, at) if len(at) else again
-            yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(row[at])), pa.array((start - first[:-1][row])[at].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["key", "doc_id", "start", "n", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(row[at])), pa.array((start - first[:-1][row])[at].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["key", "uid", "start", "n", "again"])
 
 
 def _snippets(batches):
-    """Candidate windows of one least 8-gram, with their words, a row a run of windows."""
+    """Runs of candidate windows of one key, with their words."""
     for batch in batches:
         for part in slices(batch):
             h, first = word_hashes(part.column(1))
-            start, row, low, _, _ = window_keys(h, first)
+            start, row, low, high, _ = window_keys(h, first)
             lists = part.column(2)
             flat = lists.flatten()
             owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -115,24 +116,25 @@ def _snippets(batches):
             n = flat.field("n").to_numpy().astype(np.int64)
             inside = np.maximum(np.diff(first) - PASSAGE + 1, 0)
             before = np.concatenate(([0], np.cumsum(inside)))
-            good = begin + n <= inside[owner]  # a row of the same id may have another text
             mark = np.zeros(len(start) + 1, dtype=np.int64)
-            np.add.at(mark, before[owner[good]] + begin[good], 1)
-            np.add.at(mark, before[owner[good]] + begin[good] + n[good], -1)
+            np.add.at(mark, before[owner] + begin, 1)
+            np.add.at(mark, before[owner] + begin + n, -1)
             kept = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
             if not len(kept):
                 continue
-            at = _heads(row[kept], low[kept], kept - np.arange(len(kept)))
+            at = _heads(row[kept], low[kept], high[kept], kept - np.arange(len(kept)))
             size = np.diff(np.append(at, len(kept)))
             head = kept[at]
             length = size + PASSAGE - 1
             body = gather_lists(start[head], length, (h >> np.uint64(32)).astype(np.uint32))
             ends = np.concatenate(([0], np.cumsum(length * 4))).astype(np.int32)
             blob = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(low[head].view(np.int64)), part.column(0).take(pa.array(row[head])), pa.array((start - first[:-1][row])[head].astype(np.int32)), blob], ["anchor", "doc_id", "start", "words"])
+            key = mix(low[head] * np.uint64(31) + high[head]).view(np.int64)
+            place = pa.array(row[head])
+            yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(place), part.column(3).take(place), pa.array((start - first[:-1][row])[head].astype(np.int32)), blob], ["key", "uid", "doc_id", "start", "words"])
 
 
-RUNS = "doc_id bigint, start int, n int, later boolean"
+RUNS = "snippet bigint, place int, n int, first boolean, uid bigint, start int"
 
 
 def repeated_windows(snippets: list[np.ndarray], folder: str | None = None, memory: int = MEMORY) -> list[np.ndarray]:
@@ -154,50 +156,57 @@ def repeated_windows(snippets: list[np.ndarray], folder: str | None = None, memo
 
 
 def _shard(table: pa.Table, folder: str | None, memory: int) -> pa.Table:
+    """Runs of windows of each snippet that occur elsewhere too; `first` if the first of them all is in the snippet's first place.
+
+    Every snippet comes once, with its first place and whether it has others (`many`).
+    """
     table = table.combine_chunks()
-    coded = table.column("words").combine_chunks().dictionary_encode()
-    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-    which = coded.indices.to_numpy()
-    classes = repeated_windows([np.frombuffer(b.as_buffer(), dtype=np.uint32) for b in coded.dictionary], folder, memory)
+    column = lambda c: table.column(c).to_numpy()
+    words_of = table.column("words").combine_chunks()
+    classes = repeated_windows([np.frombuffer(b.as_buffer(), dtype=np.uint32) for b in words_of], folder, memory)
     n = np.array([len(c) for c in classes], dtype=np.int64)
     cls = np.concatenate(classes)
-    at = np.cumsum(n) - n
-    doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy().astype(np.int64)
-    count = n[which]
-    cls = gather_lists(at[which], count, cls)
-    doc = np.repeat(doc, count)
-    pos = np.repeat(start, count) + np.arange(len(cls)) - np.repeat(np.cumsum(count) - count, count)
-    by = np.lexsort((pos, doc, cls))
-    cls, doc, pos = cls[by], doc[by], pos[by]
-    same = np.zeros(len(cls), dtype=bool)  # repeated rows give the same place twice
-    same[1:] = (cls[1:] == cls[:-1]) & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])
-    cls, doc, pos = cls[~same], doc[~same], pos[~same]
-    heads = _heads(cls)
-    size = np.diff(np.append(heads, len(cls)))
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(cls)) - np.repeat(np.cumsum(n) - n, n)
+    doc = table.column("doc_id").fill_null(0).to_numpy()
+    by = np.lexsort((column("start")[of] + place, column("uid")[of], doc[of], column("nameless")[of], cls))
     first = np.zeros(len(cls), dtype=bool)
-    first[heads] = True
-    keep = np.repeat(size, size) > 1
-    doc, pos, later = doc[keep], pos[keep], ~first[keep]
-    by = np.lexsort((pos, doc))
-    doc, pos, later = doc[by], pos[by], later[by]
-    heads = _heads(doc, later, pos - np.arange(len(pos)))
-    return pa.table({"doc_id": doc[heads], "start": pos[heads].astype(np.int32), "n": np.diff(np.append(heads, len(doc))).astype(np.int32), "later": later[heads]})
+    heads = _heads(cls[by])
+    first[by[heads]] = True
+    size = np.bincount(cls)
+    keep = np.flatnonzero((size[cls] > 1) | column("many")[of])
+    of, place, first = of[keep], place[keep], first[keep]
+    heads = _heads(of, first, place - np.arange(len(place)))
+    at = of[heads]
+    return pa.table({"snippet": column("snippet")[at], "place": place[heads].astype(np.int32), "n": np.diff(np.append(heads, len(of))).astype(np.int32), "first": first[heads], "uid": column("uid")[at], "start": column("start")[at]})
+
+
+def _uid(docs: DataFrame, id_col: str, text_col: str):
+    """What tells rows apart: those that share an id and a text are one document."""
+    return F.xxhash64(docs[id_col].cast("bigint"), docs[text_col].cast("string"))
 
 
 def window_runs(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, memory: int = MEMORY) -> DataFrame:
-    """Rows (doc_id, start, n, later): windows start .. start + n - 1 of a document occur elsewhere too."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    keys = rows.mapInArrow(_keys, "key bigint, doc_id bigint, start int, n int, again boolean")
-    met = keys.withColumn("_n", F.count("*").over(W.partitionBy("key"))).where("_n > 1 OR again")
-    spans = met.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    spans = written(spark, spans, "candidates")
+    """Rows (uid, doc_id, start, n, later): windows start .. start + n - 1 of a document occur elsewhere too."""
+    rows = docs.select(_uid(docs, id_col, text_col).alias("uid"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("bigint").alias("doc_id")).where("text IS NOT NULL")
+    keys = rows.select("uid", "text").mapInArrow(_keys, "key bigint, uid bigint, start int, n int, again boolean")
+    # counted in every task before they are sent; then looked up, as a join that can split hot keys
+    hot = keys.groupBy("key").agg(F.count("*").alias("m"), F.max("again").alias("again")).where("m > 1 OR again").select("key")
+    met = keys.join(hot, "key", "left_semi")
+    spans = written(spark, met.groupBy("uid").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "candidates")
     candidate = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     total = spans.agg(F.sum(candidate)).first()[0] or 0
-    shards = max(1, -(-3 * total // shard_words))  # a window brings about three words
-    found = rows.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_snippets, "anchor bigint, doc_id bigint, start int, words binary")
+    shards = max(1, -(-3 * total // shard_words))  # a window brings about six words, and half of them or more are copies
+    found = rows.join(spans, "uid").select("uid", "text", "spans", "doc_id").mapInArrow(_snippets, "key bigint, uid bigint, doc_id bigint, start int, words binary")
+    found = written(spark, found.withColumn("snippet", F.xxhash64("words")), "snippets")
+    place = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "uid", "start")
+    one = found.groupBy("snippet").agg(F.min(place).alias("at"), (F.min(place) != F.max(place)).alias("many"), F.first("key").alias("key"), F.first("words").alias("words"))
+    one = one.select("snippet", "at.*", "many", "words", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     folder = shared_dir(spark)
-    keyed = found.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).drop("anchor")
-    return keyed.groupBy("shard").applyInArrow(lambda t: _shard(t, folder, memory), RUNS)
+    runs = written(spark, one.groupBy("shard").applyInArrow(lambda t: _shard(t, folder, memory), RUNS), "runs")
+    runs = runs.select("snippet", "place", "n", "first", F.col("uid").alias("_uid"), F.col("start").alias("_start"))
+    later = ~(F.col("first") & (F.col("uid") == F.col("_uid")) & (F.col("start") == F.col("_start")))
+    return found.select("snippet", "uid", "doc_id", "start").join(runs, "snippet").select("uid", "doc_id", (F.col("start") + F.col("place")).alias("start"), "n", later.alias("later"))
 
 
 def _spans(runs: list[dict]) -> list[tuple[int, int, bool]]:
@@ -216,10 +225,12 @@ def _spans(runs: list[dict]) -> list[tuple[int, int, bool]]:
 def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, start_word, end_word, later): words that lie in a passage of 50 words that occurs elsewhere too.
 
-    `later` words lie in a copy of a passage that occurs before (in order of id, then
-    place); the others only in first occurrences.  Copies within a document count.
-    Rows with a null id or text, and texts of fewer than 50 words, have no passages;
-    rows that share an id and a text are one document; other columns are not read.
+    `later` words lie in a copy of a passage that occurs before (in order of id, then of
+    a hash of the text, then of place; rows without an id come last); the others only in
+    first occurrences.  Copies within a document count.  Null and empty texts, and those
+    of fewer than 50 words, have no passages.  Rows that share an id and a text are one
+    document, reported once; those that share an id only are documents of their own.
+    Other columns are not read.
     """
 
     def run(batches):
@@ -229,7 +240,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], ["doc_id", "start_word", "end_word", "later"])
 
     runs = window_runs(spark, docs, id_col, text_col, **options)
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "later")).alias("runs")).mapInArrow(run, "doc_id bigint, start_word int, end_word int, later boolean")
+    return runs.groupBy("uid", "doc_id").agg(F.collect_set(F.struct("start", "n", "later")).alias("runs")).select("doc_id", "runs").mapInArrow(run, "doc_id bigint, start_word int, end_word int, later boolean")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -246,15 +257,16 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """Documents without the passages that occur before them (in order of doc_id, then place).
+    """Documents without the passages that occur before them, in the order of `repeated_passages`.
 
     Columns stay; `n_chars`, where present, is the new length.  A document of which
-    nothing but blanks is left goes; one without such passages, a null id or a null
-    text stays as it is.
+    nothing but blanks is left goes; one without such passages, or with a null or empty
+    text, stays as it is.  Rows that share an id and a text are one document: all of
+    them stay, cut alike.
     """
     names = docs.columns
     key, found = fresh_name("_id", names), fresh_name("_runs", names)
-    runs = window_runs(spark, docs, **options).where("later").groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "n", "later")).alias(found))
+    runs = window_runs(spark, docs, **options).where("later").groupBy(F.col("uid").alias(key)).agg(F.collect_set(F.struct("start", "n", "later")).alias(found))
     place, number, cols = names.index("text"), names.index("n_chars") if "n_chars" in names else None, len(names)
 
     def run(batches):
@@ -278,5 +290,5 @@ def without_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
                     arrays[number] = pa.array(sizes, arrays[number].type)
             yield pa.RecordBatch.from_arrays(arrays[:cols], names).filter(pa.array(keep))
 
-    joined = docs.join(runs, docs["doc_id"] == runs[key], "left").drop(key)
+    joined = docs.join(runs, _uid(docs, "doc_id", "text") == runs[key], "left").drop(key)
     return joined.mapInArrow(run, docs.schema)

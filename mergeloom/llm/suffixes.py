@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyarrow import fs
 
 BUCKET_RUNS = 1 << 16
-MEMORY = 256 << 20
+MEMORY = 256 << 10
 
 
 class BucketQueue:
@@ -32,7 +32,7 @@ class BucketQueue:
         self.files: list[list[str]] = [[] for _ in range(buckets)]
         self.held, self.memory, self.store, self.base = 0, memory, None, None
         if folder is not None:
-            self.store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+            self.store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
             self.base = f"{base.rstrip('/')}/mergeloom-queue-{uuid.uuid4().hex}"
 
     def push(self, bucket: np.ndarray, run: np.ndarray, order: np.ndarray) -> None:

@@ -198,30 +198,40 @@ def test_suffix_arrays_by_brute_force(tmp_path, monkeypatch, spool):
 
 
 def brute_states(rows):
+    """By row: for each word 0, 1 (in a first occurrence) or 2 (in a later one). Equal rows are one document."""
     windows, state = {}, {}
-    for i, text in rows:
-        if i is None or text is None:
-            continue
-        w = WORD.findall(text.lower())
-        state[i] = [0] * len(w)
+    for row in set(rows):
+        w = WORD.findall((row[1] or "").lower())
+        state[row] = [0] * len(w)
         for k in range(len(w) - passages.PASSAGE + 1):
-            windows.setdefault(tuple(w[k : k + passages.PASSAGE]), set()).add((i, k))
+            windows.setdefault(tuple(w[k : k + passages.PASSAGE]), set()).add((row, k))
     for places in windows.values():
         if len(places) > 1:
-            first = min(places)
-            for i, k in places:
+            first = min(places, key=lambda p: (p[0][0] is None, p[0][0] or 0, UIDS[p[0]], p[1]))
+            for row, k in places:
                 for j in range(k, k + passages.PASSAGE):
-                    state[i][j] = max(state[i][j], 1 + ((i, k) != first))
+                    state[row][j] = max(state[row][j], 1 + ((row, k) != first))
     return state
 
 
+UIDS = {}
+
+
+def with_uids(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in docs.select("*", passages._uid(docs, "doc_id", "text").alias("uid")).collect():
+        UIDS[r.doc_id, r.text] = r.uid
+    return docs
+
+
 def states(rows, spans):
-    got = {i: [0] * len(WORD.findall(t.lower())) for i, t in rows if i is not None and t is not None}
+    """States of rows, of which no two share an id."""
+    got = {r[0]: [0] * len(WORD.findall((r[1] or "").lower())) for r in rows}
     for r in spans:
         for j in range(r.start_word, r.end_word):
             assert not got[r.doc_id][j]
             got[r.doc_id][j] = 1 + r.later
-    return got
+    return {r: got[r[0]] for r in rows}
 
 
 @pytest.fixture(scope="module")
@@ -243,29 +253,65 @@ def passage_rows():
 
 
 def test_passages_by_brute_force(spark, passage_rows):
-    docs = spark.createDataFrame(passage_rows, "doc_id bigint, text string")
+    docs = with_uids(spark, passage_rows)
     want = brute_states(passage_rows)
     for options in ({}, {"shard_words": 300, "memory": 100}):
         spans = passages.repeated_passages(spark, docs, **options).collect()
         assert states(passage_rows, spans) == want
 
 
+def cut(text, state):
+    return [w for w, s in zip(WORD.findall(text), state) if s < 2]
+
+
 def test_cutting_passages(spark, passage_rows):
-    docs = spark.createDataFrame([(i, t, len(t), "x") for i, t in passage_rows], "doc_id bigint, text string, n_chars bigint, _runs string")
+    docs = with_uids(spark, passage_rows).selectExpr("*", "CAST(length(text) AS BIGINT) AS n_chars", "'x' AS _runs")
     want = brute_states(passage_rows)
     kept = passages.without_copies(spark, docs)
     assert kept.columns == docs.columns
     got = {r.doc_id: r for r in kept.collect()}
-    for i, text in passage_rows:
-        words = [w for w, s in zip(WORD.findall(text), want[i]) if s < 2]
-        if not words and text:
-            assert i not in got
+    for row in passage_rows:
+        words = cut(row[1], want[row])
+        if not words and row[1]:
+            assert row[0] not in got
         else:
-            assert WORD.findall(got[i].text) == words and got[i].n_chars == len(got[i].text)
+            assert WORD.findall(got[row[0]].text) == words and got[row[0]].n_chars == len(got[row[0]].text)
     assert passages.cut_words("a, b c. D", [(1, 3)]) == "a, D"
     assert passages.cut_words("ä b", [(0, 1)]) == "b" and passages.cut_words("a b!", [(0, 2)]) == ""
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_passages_of_shared_ids(spark, turn):
+    rows = long_rows()[::turn]
+    docs = with_uids(spark, rows)
+    want = brute_states(rows)
+    expected = ordered((i, " ".join(cut(t, want[i, t]))) for i, t in rows if cut(t, want[i, t]))
+    assert ordered((r.doc_id, " ".join(WORD.findall(r.text))) for r in passages.without_copies(spark, docs).collect()) == expected
+    spans = sorted((str(r.doc_id), r.end_word - r.start_word, r.later) for r in passages.repeated_passages(spark, docs).collect())
+    assert spans == sorted((str(i), n, state == 2) for (i, _), s in want.items() for state in (1, 2) for n in lengths(s, state))
+
+
+def lengths(states, wanted):
+    return [len(x) for x in re.findall(f"{wanted}+", "".join(map(str, states)))]
+
+
+def test_large_shards_spool(tmp_path, monkeypatch):
+    """Half a million words at the registered memory: queues go through files, and the order is right."""
+    spooled = []
+    spool = suffixes.BucketQueue.spool
+    monkeypatch.setattr(suffixes.BucketQueue, "spool", lambda self: (spooled.append(self.held), spool(self)))
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.integers(0, 5000, passages.SHARD_WORDS // 2), rng.integers(1, 4, passages.SHARD_WORDS // 2))
+    x[300_000:400_000] = x[100_000:200_000]
+    got = suffixes.suffix_array(x, str(tmp_path))
+    assert spooled and min(spooled) > suffixes.MEMORY and not list(tmp_path.iterdir())
+    rank = np.empty(len(x) + 1, dtype=np.int64)
+    rank[got], rank[-1] = np.arange(len(x)), -1
+    assert len(np.unique(got)) == len(x)
+    a, b = got[:-1], got[1:]
+    assert ((x[a] < x[b]) | ((x[a] == x[b]) & (rank[a + 1] < rank[b + 1]))).all()
+
+
 def test_odd_passages(spark, odd_docs, no_docs):
     assert passages.without_copies(spark, odd_docs).count() == odd_docs.count()
     assert passages.repeated_passages(spark, no_docs).count() == passages.without_copies(spark, no_docs).count() == 0

@@ -1,18 +1,25 @@
 """Operator 8: approximate nearest neighbours by learned partitions.
 
 On a bounded sample, the exact neighbour graph is cut into balanced parts, and a
-small network learns each vector's and its neighbours' parts.  Every vector is
-stored in its likeliest part and searched for in the several likeliest ones, where
-cosine similarities are exact; how many is the least number that keeps the target
-recall on vectors held out of training.
+small network learns each vector's and its neighbours' parts.  Every vector is stored
+once, in its likeliest part; a query is searched for in the several likeliest ones,
+where cosine similarities are exact.  How many is the least number that keeps the
+target recall on vectors held out of training.
+
+A part has about `PART_ROWS` vectors at any size of table: parts that are larger than
+twice that are split again, by networks of their own, fitted on samples of their own
+in one task each.  A part that can't be split (equal vectors, say) is searched in
+blocks.  Queries whose parts hold too few vectors are compared with all vectors.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,11 +27,12 @@ from pyspark.sql import functions as F
 from mergeloom.session import written
 
 K = 10
-PART_ROWS = 2_000
-MOST_PARTS = 1_024
+PART_ROWS = 1_000
+LEAST_PARTS = 4
+FANOUT = 64
 SAMPLE_ROWS = 4_096
-SHARD_ROWS = 20_000
-RECALL = 0.97
+BLOCK_ROWS = 20_000
+RECALL = 0.98
 HIDDEN = 128
 
 
@@ -55,8 +63,8 @@ def top_neighbours(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray,
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, seed: int = 5, rounds: int = 12) -> np.ndarray:
     """Parts of near-equal size with few graph edges between them.
 
-    Starts from centres with room for n / parts each, then moves vertices (and swaps
-    them) to the part that most of their neighbours are in while room is left.
+    Starts from centres with room for n / parts each, then moves vertices to the part
+    that most of their neighbours are in while room is left there.
     """
     rng = np.random.default_rng(seed)
     n = len(x)
@@ -136,11 +144,9 @@ def train_router(x: np.ndarray, target: np.ndarray, epochs: int = 40, batch: int
 
 def fit_router(sample: np.ndarray, parts: int, k: int = K, recall: float = RECALL) -> Router:
     """Router of a sample of unit vectors; a fifth of it is held out to choose the number of probes."""
-    d = sample.shape[1] if sample.ndim == 2 else 1
-    if parts < 2 or len(sample) < 10 * parts:
-        return Router(np.zeros((d, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32))
     held = np.arange(len(sample)) % 5 == 4
     x, q = sample[~held], sample[held]
+    parts = min(parts, len(x))
     ids = np.arange(len(x))
     row, col, _ = top_neighbours(x, ids, x, ids, k)
     graph = [col[a:b] for a, b in zip(np.searchsorted(row, ids), np.searchsorted(row, ids, side="right"))]
@@ -149,72 +155,143 @@ def fit_router(sample: np.ndarray, parts: int, k: int = K, recall: float = RECAL
     np.add.at(target, (ids, part), 1.0)
     np.add.at(target, (row, part[col]), 1.0)
     router = train_router(x, target / target.sum(axis=1, keepdims=True))
-    home = router.scores(x).argmax(axis=1)
-    near, other, _ = top_neighbours(q, np.full(len(q), -1), x, ids, k)
-    rank = np.argsort(np.argsort(-router.scores(q), axis=1), axis=1)
-    found = rank[near, home[other]]
-    reach = np.cumsum(np.bincount(found, minlength=parts)) / max(1, len(found))
-    router.probes = int(min(parts, np.searchsorted(reach, recall) + 1))
+    router.probes = parts
+    if len(q):
+        home = router.scores(x).argmax(axis=1)
+        near, other, _ = top_neighbours(q, np.full(len(q), -1), x, ids, k)
+        rank = np.argsort(np.argsort(-router.scores(q), axis=1), axis=1)
+        found = rank[near, home[other]]
+        reach = np.cumsum(np.bincount(found, minlength=parts)) / len(found)
+        router.probes = int(min(parts, np.searchsorted(reach, recall) + 1))
     return router
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, neighbour_id, similarity, rank): the k most cosine-similar other vectors of each.
+def _children(rows: int) -> int:
+    """Parts that a part of so many rows is split into."""
+    return int(np.clip(-(-rows // PART_ROWS), LEAST_PARTS, FANOUT))
 
-    Every vector is a query.  Rows with a null id or vector, with a null or non-finite
-    component, of zero length, or of another length than most, have no neighbours and
-    are nobody's.  Of rows that share an id the one with the least vector counts; ties
-    go to the smaller id; other columns are not read.
-    """
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    rows = rows.where(F.size("v") > 0).where(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))).where(F.exists("v", lambda e: e != 0))
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    schema = "vec_id bigint, neighbour_id bigint, similarity double, rank int"
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    d, total = lengths[0].d, lengths[0].n
-    rows = rows.where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
-    parts = int(np.clip(round(total / PART_ROWS), 1, MOST_PARTS))
-    size = max(SAMPLE_ROWS, 16 * parts)
-    ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(size)
-    got = rows.join(F.broadcast(ids), "id").orderBy("id").toArrow() if parts > 1 else None
-    sample = unit(got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d).astype(np.float32)) if got is not None else np.zeros((0, d), np.float32)
-    shared = spark.sparkContext.broadcast(fit_router(sample, parts, k))
+
+def _vectors(column: pa.Array, d: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(-1, d)
+
+
+def _routed(router: Router, x: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child): stored rows once, queries in as many parts as are probed."""
+    order = np.argsort(-router.scores(x), axis=1, kind="stable")[:, : router.probes]
+    n = np.where(query, order.shape[1], 1)
+    row = np.repeat(np.arange(len(x)), n)
+    return row, order[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+
+
+ROWS = "id bigint, v array<float>, query boolean, part bigint"
+
+
+def _first_split(spark: SparkSession, both: DataFrame, sample: np.ndarray, total: int, d: int, k: int) -> DataFrame:
+    router = spark.sparkContext.broadcast(fit_router(sample, _children(total), k))
 
     def route(batches):
-        router: Router = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(batch.column(1).flatten().to_numpy().reshape(-1, d).astype(np.float32))
-            order = np.argsort(-router.scores(x), axis=1, kind="stable")[:, : router.probes]
-            n, probes = order.shape
-            at = pa.array(np.repeat(np.arange(n), probes))
-            asked = pa.array(order.ravel().astype(np.int32))
-            stored = np.zeros((n, probes), dtype=bool)
-            stored[:, 0] = True
-            flat = pa.array(x.ravel()[(np.repeat(np.arange(n), probes)[:, None] * d + np.arange(d)).ravel()])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n * probes + 1, dtype=np.int32) * d), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), lists, asked, pa.array(stored.ravel())], ["id", "v", "part", "stored"])
-
-    routed = written(spark, rows.mapInArrow(route, "id bigint, v array<float>, part int, stored boolean"), "routed")
-    # large parts are cut into shards; every query shard meets every data shard
-    sizes = routed.groupBy("part").agg(F.ceil(F.count_if("stored") / SHARD_ROWS).cast("int").alias("data"), F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("ask"))
-    sizes = sizes.withColumn("data", F.greatest("data", F.lit(1)))
-    routed = routed.join(F.broadcast(sizes), "part")
-    asks = routed.select("part", "id", "v", F.lit(True).alias("query"), F.pmod(F.xxhash64("id"), F.col("ask")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("data") - 1)).alias("s"))
-    holds = routed.where("stored").select("part", "id", "v", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("ask") - 1)).alias("q"), F.pmod(F.xxhash64("id"), F.col("data")).cast("int").alias("s"))
+            if batch.num_rows:
+                row, child = _routed(router.value, _vectors(batch.column(1), d), batch.column(2).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns[:3], pa.array(child.astype(np.int64))], ["id", "v", "query", "part"])
+
+    return both.mapInArrow(route, ROWS)
+
+
+def _next_split(spark: SparkSession, both: DataFrame, d: int, k: int) -> DataFrame:
+    """Splits every part of more than twice `PART_ROWS` stored vectors; what isn't split keeps its rows."""
+    sizes = both.groupBy("part").agg(F.count_if(~F.col("query")).alias("n"))
+    sizes = written(spark, sizes.withColumn("blocks", F.when(F.col("n") > 2 * PART_ROWS, F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))), "sizes")
+    both = both.join(sizes, "part")
+    drawn = both.where("blocks IS NOT NULL AND NOT query").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < SAMPLE_ROWS)
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        got = fit_router(_vectors(table.column("v"), d), _children(table.column("n")[0].as_py()), k)
+        return pa.table({"part": table.column("part")[:1], "router": pa.array([pickle.dumps(got)], pa.binary())})
+
+    routers = written(spark, drawn.select("part", "id", "v", "n").groupBy("part").applyInArrow(fit, "part bigint, router binary"), "routers")
+    large = both.where("blocks IS NOT NULL").select("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v", "query", F.lit(None).cast("binary").alias("router"))
+    heads = routers.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<float>").alias("v"), F.lit(False).alias("query"), "router")
+
+    def route(table: pa.Table) -> pa.Table:
+        is_head = table.column("router").is_valid()
+        table, router = table.filter(pc.invert(is_head)), pickle.loads(table.filter(is_head).column("router")[0].as_py())
+        if not table.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float32())), "query": pa.array([], pa.bool_()), "part": pa.array([], pa.int64())})
+        row, child = _routed(router, _vectors(table.column("v"), d), table.column("query").to_numpy())
+        part = table.column("part")[0].as_py() * FANOUT + child
+        return table.select(["id", "v", "query"]).take(pa.array(row)).append_column("part", pa.array(part.astype(np.int64)))
+
+    split = large.unionByName(heads).groupBy("part", "block").applyInArrow(route, ROWS)
+    return split.union(both.where("blocks IS NULL").select("id", "v", "query", (F.col("part") * FANOUT).alias("part")))
+
+
+FOUND = "vec_id bigint, neighbour_id bigint, similarity double"
+
+
+def _search(both: DataFrame, sizes: DataFrame, d: int, k: int) -> DataFrame:
+    """Each query's most similar stored vectors of its parts, block by block; `sizes` has the blocks of each part."""
+    both = both.join(sizes, "part")
+    block = F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
 
     def search(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy()
-        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
-        who = table.column("id").to_numpy()
+        x, who = _vectors(table.column("v"), d), table.column("id").to_numpy()
         asked, held = np.flatnonzero(query), np.flatnonzero(~query)
         if not len(held) or not len(asked):
             return pa.table({"vec_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
         a, b, s = top_neighbours(x[asked], who[asked], x[held], who[held], k)
         return pa.table({"vec_id": who[asked][a], "neighbour_id": who[held][b], "similarity": s})
 
-    found = asks.unionByName(holds).groupBy("part", "q", "s").applyInArrow(search, "vec_id bigint, neighbour_id bigint, similarity double")
-    rank = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "similarity", "rank")
+    return both.select("part", F.explode(block).alias("block"), "id", "v", "query").groupBy("part", "block").applyInArrow(search, FOUND)
+
+
+def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 1) -> DataFrame:
+    """(vec_id, neighbour_id, similarity, rank): the k most cosine-similar other vectors of each query.
+
+    Queries are the vectors whose id `every` divides, searched for among all.  Rows with
+    a null id or vector, with a null or non-finite component, of zero length, or of
+    another length than most, have no neighbours and are nobody's.  Of rows that share
+    an id the one with the least vector counts; ties go to the smaller id; other columns
+    are not read.  Fewer than 8 * `LEAST_PARTS` vectors are one part.
+    """
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    rows = rows.where(F.size("v") > 0).where(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))).where(F.exists("v", lambda e: e != 0))
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    schema = FOUND + ", rank int"
+    if not lengths:
+        return spark.createDataFrame([], schema)
+    d = lengths[0].d
+
+    def normal(batches):
+        for batch in batches:
+            flat = unit(_vectors(batch.column(1), d).astype(np.float32)).ravel()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * d), pa.array(flat))], ["id", "v"])
+
+    rows = written(spark, rows.where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(normal, "id bigint, v array<float>"), "vectors")
+    total = rows.count()
+    asks = rows.where(F.col("id") % every == 0)
+    both = rows.withColumn("query", F.lit(False)).union(asks.withColumn("query", F.lit(True)))
+    if total >= 8 * LEAST_PARTS:
+        ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+        sample = _vectors(rows.join(F.broadcast(ids), "id").orderBy("id").toArrow().column("v"), d)
+        both = written(spark, _first_split(spark, both, sample, total, d, k), "routed")
+        reached = FANOUT * PART_ROWS
+        while reached < total:
+            both = written(spark, _next_split(spark, both, d, k), "routed")
+            reached *= FANOUT
+    else:
+        both = both.withColumn("part", F.lit(0).cast("bigint"))
+    blocks = F.ceil(F.greatest(F.count_if(~F.col("query")), F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")
+    top = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
+    found = _search(both, both.groupBy("part").agg(blocks), d, k)
+    found = written(spark, found.withColumn("rank", top).where(F.col("rank") <= k), "found")
+    enough = found.groupBy("vec_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, total - 1))
+    short = written(spark, asks.join(enough, asks["id"] == enough["vec_id"], "left_anti"), "short")
+    if total > 1 and not short.isEmpty():  # all vectors, in blocks, for the few queries whose parts hold too few
+        all_of = rows.withColumn("query", F.lit(False)).union(short.withColumn("query", F.lit(True))).withColumn("part", F.lit(0).cast("bigint"))
+        rest = _search(all_of, spark.range(1).select(F.col("id").alias("part"), F.lit(-(-total // BLOCK_ROWS)).cast("int").alias("blocks")), d, k)
+        found = found.join(short.select(F.col("id").alias("vec_id")), "vec_id", "left_anti").union(rest.withColumn("rank", top).where(F.col("rank") <= k))
+    return found.select("vec_id", "neighbour_id", "similarity", "rank")

@@ -72,21 +72,39 @@ def recall(got, want):
     return np.mean([len(set(found.get(i, ())) & set(n)) / len(n) for i, n in want.items()])
 
 
-def test_recall_of_every_row(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "PART_ROWS", 200)
-    df = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_recall_of_every_row(spark, sf):
+    df = spark.read.parquet(f"{SF.replace('0.001', sf)}/embeddings.parquet")
     rows = df.collect()
     want = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows]), 10)
     got = neighbours.nearest(spark, df).collect()
     assert recall(got, want) >= 0.9
-    assert {r.vec_id for r in got} == set(want)
+    assert {r.vec_id for r in got} == set(want) and len(got) == 10 * len(want)
 
 
-def test_shards_find_the_same(spark, monkeypatch):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    whole = sorted(neighbours.nearest(spark, df, k=5).collect())
-    monkeypatch.setattr(neighbours, "SHARD_ROWS", 60)
-    assert sorted(neighbours.nearest(spark, df, k=5).collect()) == whole
+def test_parts_are_split_again(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 60)
+    monkeypatch.setattr(neighbours, "FANOUT", 5)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    df = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet")
+    rows = df.collect()
+    want = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows]), 10)
+    got = neighbours.nearest(spark, df, every=5).collect()
+    assert recall(got, {i: n for i, n in want.items() if i % 5 == 0}) >= 0.9
+    assert {r.vec_id for r in got} == {i for i in want if i % 5 == 0}
+
+
+def test_few_parts_and_equal_vectors(spark, monkeypatch):
+    """A third of all vectors are equal and one is far from all: every query still gets k neighbours, in right order."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 20)
+    monkeypatch.setattr(neighbours, "FANOUT", 4)
+    rng = np.random.default_rng(3)
+    x = np.concatenate((np.tile(rng.normal(size=6), (70, 1)), rng.normal(size=(139, 6)), [[9.0, -9, 9, -9, 9, -9]])).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = neighbours.nearest(spark, df).collect()
+    assert len(got) == 10 * len(x)
+    assert recall(got, brute(list(range(len(x))), x, 10)) >= 0.9
 
 
 def test_odd_vectors(spark):

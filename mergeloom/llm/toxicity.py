@@ -1,19 +1,22 @@
 """Operator 1: toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, reporting, intent, light
-word, break, other); four transducers rewrite and weigh a clause's symbols, and
-their composition's heaviest path is the clause's score:
+Words become symbols (insulting word, harming word, target, possessive, negation,
+reporting, intent, first person, light word, break, other); six transducers rewrite and
+weigh a clause's symbols, and their composition's heaviest path is the clause's score:
 
-    negation   an insult or threat just after a negation is marked as negated
+    insult     an insulting word is an insult
+    threat     a harming word up to three words after intent or a first person is a threat
+    negation   one after a negation, with light words and one other between, is marked as negated
     reporting  one after a reporting verb is marked as reported
-    target     one with a target beside it is marked as aimed
+    target     one with a target beside it is marked as aimed (an insult also by a possessive before)
     scoring    weighs what is marked; a threat counts only when aimed
 
 A document is rejected if its clauses' scores, over its words, reach a density, or
-if one clause holds an aimed, unreported threat.
+if one clause holds an aimed, unreported threat that isn't negated.
 
 The built-in vocabulary is small; further insults are whole words and word
-beginnings that a bounded sample of labelled documents shows to be toxic.
+beginnings that a bounded sample of labelled documents shows to be toxic.  The
+typographic apostrophe counts as the plain one, and the t of "n't" is a negation.
 """
 
 from __future__ import annotations
@@ -42,59 +45,65 @@ VOCABULARY = {
     "I": "idiot idiots moron morons imbecile stupid dumb loser losers scum trash pathetic worthless disgusting clown clowns dumbass scumbag degenerate vermin filth "
     "trottel dummkopf vollidiot abschaum arschloch connard imbécile abruti ordure salaud débile gilipollas imbécil estúpido estúpida basura escoria",
     "H": "kill murder slaughter stab shoot strangle hurt destroy exterminate töten umbringen erschießen erstechen tuer massacrer égorger matar asesinar apuñalar matarte matarlos",
-    "T": "you your yours yourself u them du dich dir euch ihnen tu toi vous usted ustedes ti vosotros",
-    "N": "not never no isn aren wasn weren don doesn didn ain won nicht kein keine keinen niemals pas jamais aucun nunca jamás ningún",
+    "T": "you yourself yourselves u them du dich dir euch ihnen tu te toi vous usted ustedes ti vosotros",
+    "Y": "your yours dein deine deinen euer eure ton ta tes votre vos tus vuestro vuestra",
+    "N": "not never no cannot dont wont cant isnt arent didnt doesnt nicht kein keine keinen niemals pas jamais aucun nunca jamás ningún",
     "R": "said says say told wrote writes called calls calling quoted quote alleged claimed reported sagte schrieb nannte meinte dit écrit appelé déclaré dijo escribió llamó afirmó",
-    "F": "will going gonna shall must should want werde werden will soll vais allons veux voy vamos quiero",
-    "C": "a an the is are am be was were such so really very just ein eine ist sind bist sehr un une est es sont très eres es muy una",
+    "F": "will ll going gonna go shall must should want werde werden will soll vais allons veux voy vamos quiero",
+    "S": "i we ich wir je nous yo nosotros",
+    "C": "a an the to is are am be was were m re s such so really very just ein eine ist sind bist sehr un une est es sont très eres es muy una",
 }
-SYMBOLS = "IHTNRFCPO"
+SYMBOLS = "IHTYNRFSCPO"
 
 
 def grammar() -> Transducer:
     """The composed machine; inputs are symbols of `SYMBOLS`."""
-    plain = set(SYMBOLS)
-    negation = Transducer(0, final={0: 0.0, 1: 0.0, 2: 0.0})
-    for state in (0, 1, 2):
-        for x in plain:
-            if x == "N":
-                negation.arc(state, x, x, 0.0, 1)
-            elif state and x in "IH":
-                negation.arc(state, x, x.lower(), 0.0, 0)
-            elif state == 1 and x in "CTF":
-                negation.arc(state, x, x, 0.0, 2)
-            elif state == 2 and x == "C":
-                negation.arc(state, x, x, 0.0, 2)
-            else:
-                negation.arc(state, x, x, 0.0, 0)
+    plain = set(SYMBOLS) - set("IH")
+    insult = Transducer(0, final={0: 0.0})
+    for x in plain | set("IH"):
+        insult.arc(0, x, "A" if x == "I" else x, 0.0, 0)
+    threat = Transducer(0, final={k: 0.0 for k in range(4)})
+    for k in range(4):
+        for x in plain | set("AH"):
+            y = ("B" if k else "O") if x == "H" else x
+            threat.arc(k, x, y, 0.0, 3 if x in "FS" else 0 if x == "P" else max(0, k - (x not in "CN")))
+    # 1: just after a negation; 2: light words came between; 3: another word did
+    negation = Transducer(0, final={k: 0.0 for k in range(4)})
+    onward = {1: dict.fromkeys("CFTSY", 2) | {"O": 3}, 2: dict.fromkeys("CF", 2) | {"O": 3}, 3: dict.fromkeys("CF", 3)}
+    for state in range(4):
+        for x in plain | set("AB"):
+            to = 1 if x == "N" else onward.get(state, {}).get(x, 0)
+            negation.arc(state, x, x.lower() if state and x in "AB" else x, 0.0, to)
     reporting = Transducer(0, final={0: 0.0, 1: 0.0})
-    quoted = {"I": "Q", "H": "G", "i": "q", "h": "g"}
-    for x in plain | {"i", "h"}:
+    quoted = {"A": "Q", "B": "G", "a": "q", "b": "g"}
+    for x in plain | set("ABab"):
         reporting.arc(0, x, x, 0.0, 1 if x == "R" else 0)
         reporting.arc(1, x, quoted.get(x, x), 0.0, 1)
     # a target up to three symbols before, or (guessed, then verified) up to three behind
-    cores = {"I": "J", "H": "K", "i": "i", "h": "h", "Q": "Q", "G": "G", "q": "q", "g": "g"}
-    target = Transducer(("seen", 0), final={("seen", k): 0.0 for k in range(4)})
+    cores = {"A": "J", "B": "K"} | {x: x for x in "abQGqg"}
+    target = Transducer((0, 0), final={(k, m): 0.0 for k in range(4) for m in range(4)})
     for k in range(4):
-        for x in (plain - {"I", "H"}) | set(cores):
-            left = 3 if x == "T" else max(0, k - 1) if x != "P" else 0
-            if x in cores:
-                target.arc(("seen", k), x, cores[x] if k else x, 0.0, ("seen", max(0, k - 1)))
-                if x in "IH" and not k:
-                    target.arc(("seen", k), x, cores[x], 0.0, ("due", 3))
-            else:
-                target.arc(("seen", k), x, x, 0.0, ("seen", left))
+        for m in range(4):
+            for x in plain | set(cores):
+                aimed = k or m and x == "A"
+                left = (3 if x == "T" else 0 if x == "P" else max(0, k - 1), 3 if x == "Y" else 0 if x == "P" else max(0, m - 1))
+                target.arc((k, m), x, cores.get(x, x) if aimed else x, 0.0, left)
+                if x in "AB" and not aimed:
+                    target.arc((k, m), x, cores[x], 0.0, ("due", 3))
     for k in (1, 2, 3):
-        for x in (plain - {"I", "H"}) | set(cores):
+        for x in plain | set(cores):
             if x == "T":
-                target.arc(("due", k), x, x, 0.0, ("seen", 3))
+                target.arc(("due", k), x, x, 0.0, (3, 0))
             elif k > 1 and x != "P":
-                target.arc(("due", k), x, cores[x] if x in "IH" else x, 0.0, ("due", k - 1))
-    weights = {"I": 1.0, "J": 1.5, "i": 0.2, "Q": 0.4, "q": 0.1, "K": THREAT_WEIGHT, "H": 0.0, "h": 0.0, "G": 0.4, "g": 0.0}
+                target.arc(("due", k), x, cores.get(x, x), 0.0, ("due", k - 1))
+    weights = {"A": 1.0, "J": 1.5, "a": 0.2, "Q": 0.4, "q": 0.1, "K": THREAT_WEIGHT, "B": 0.0, "b": 0.0, "G": 0.4, "g": 0.0}
     scoring = Transducer(0, final={0: 0.0})
-    for x in (plain | set(weights)):
+    for x in plain | set(weights):
         scoring.arc(0, x, "", weights.get(x, 0.0), 0)
-    return negation.compose(reporting).compose(target).compose(scoring).numbered()
+    machine = insult
+    for part in (threat, negation, reporting, target, scoring):
+        machine = machine.compose(part)
+    return machine.numbered()
 
 
 def _key(word: str) -> int:
@@ -146,6 +155,9 @@ class Lexicon:
         out[known] = self.codes[at[known]]
         learned = self.insults(data, start, end) & (out != SYMBOLS.index("H"))
         out[learned] = SYMBOLS.index("I")
+        back = np.maximum(start - 2, 0)
+        cut = (end - start == 1) & (start > 1) & (data[start] == 116) & (data[start - 1] == 39) & (data[back] == 110)  # n't
+        out[cut] = SYMBOLS.index("N")
         return out
 
     def clause(self, codes: bytes) -> float:
@@ -196,9 +208,13 @@ _PAUSE = np.zeros(256, dtype=bool)
 _PAUSE[[34, 40, 41, 44, 58]] = True
 
 
+def _folded(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return text_buffers(pc.replace_substring(pc.utf8_lower(col), "\u2019", "'"))
+
+
 def score_texts(col: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sum of clause scores, heaviest clause's threat weight, words) of each text."""
-    data, offsets = text_buffers(pc.utf8_lower(col))
+    data, offsets = _folded(col)
     start, end, first = words(data, offsets, True)
     n = len(offsets) - 1
     total, threat, size = np.zeros(n), np.zeros(n), np.diff(first)
@@ -250,7 +266,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
 
 def _features(col: pa.Array) -> np.ndarray:
     """Distinct (row, feature) pairs' features: hashes of whole words and of word beginnings."""
-    data, offsets = text_buffers(pc.utf8_lower(col))
+    data, offsets = _folded(col)
     start, end, first = words(data, offsets, True)
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
@@ -365,7 +381,11 @@ def rejected(density: np.ndarray, threat: np.ndarray, lexicon: Lexicon) -> np.nd
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows whose text isn't toxic, with the columns they came with."""
+    """The rows whose text isn't toxic, with the columns they came with.
+
+    Rows with a null or empty text stay, and so do repeated rows and rows without an id
+    or with a shared one if their text isn't toxic.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     place = docs.columns.index("text")
 

@@ -30,6 +30,66 @@ def test_clauses_not_words_are_scored():
     assert score("IDIOT!! YOU!!")[0] == 1.0
 
 
+def by_rules(symbols):
+    """(score, threat) of a clause by plain rules, mark by mark."""
+    weight = {"A": (1.0, 1.5), "a": (0.2, 0.2), "Q": (0.4, 0.4), "q": (0.1, 0.1), "B": (0.0, toxicity.THREAT_WEIGHT), "b": (0.0, 0.0), "G": (0.4, 0.4), "g": (0.0, 0.0)}
+    marks, intent, denied, told = [], 0, "", False
+    for x in symbols:
+        y = {"I": "A", "H": "B" if intent else "O"}.get(x, x)
+        intent = 3 if x in "FS" else 0 if x == "P" else max(0, intent - (x not in "CN"))
+        z = y.lower() if denied and y in "AB" else y
+        denied = "just" if y == "N" else {"just": {**dict.fromkeys("CFTSY", "light"), "O": "far"}, "light": {"C": "light", "F": "light", "O": "far"}, "far": {"C": "far", "F": "far"}}.get(denied, {}).get(y, "")
+        marks.append({"A": "Q", "B": "G", "a": "q", "b": "g"}.get(z, z) if told else z)
+        told |= z == "R"
+    total = threat = 0.0
+    for k, x in enumerate(marks):
+        if x in weight:
+            before = "".join(marks[max(0, k - 3) : k]).rpartition("P")[2]
+            behind = "".join(marks[k + 1 : k + 4]).partition("P")[0]
+            aimed = "T" in before + behind or x == "A" and "Y" in before
+            total += weight[x][aimed]
+            threat += weight[x][aimed] if x in "BGbg" else 0
+    return total, threat
+
+
+def test_documents_by_rules():
+    words = {x: [w for w in line.split() if w.isascii()] for x, line in toxicity.VOCABULARY.items()} | {"O": ["table", "green", "walk"], "P": [","]}
+    rng = np.random.default_rng(12)
+    texts, want = [], []
+    for _ in range(400):
+        total, threat, n, text = 0.0, 0.0, 0, ""
+        for _ in range(rng.integers(0, 4)):
+            symbols = rng.choice(list("IIHHTTYNRFSCPOO"), rng.integers(1, 9)).tolist()
+            while symbols[0] == "P":
+                symbols.pop(0)
+                symbols.append("O")
+            symbols = [x for k, x in enumerate(symbols) if x != "P" or symbols[k - 1] != "P"]
+            text += " ".join(rng.choice(words[x]) for x in symbols).replace(" ,", ",") + ". "
+            score_, threat_ = by_rules(symbols)
+            total, threat, n = total + score_, max(threat, threat_), n + sum(x != "P" for x in symbols)
+        texts.append(text)
+        want.append((round(total, 6), n))
+        assert score(text)[0] == round(total, 6), text
+        assert score(text)[2] == n and abs(score(text)[1] - threat) < 1e-6 or "H" not in text, text
+
+
+def test_contractions_and_distant_negations():
+    for text in ("You aren't an idiot", "You aren\u2019t an idiot", "You are not an idiot", "You are never ever an idiot", "You can't be such an idiot"):
+        assert score(text)[0] == 0.2
+    assert score("It's not here you idiot")[0] == 1.5
+    assert score("We won the game you idiot")[0] == 1.5
+    for text in ("I won't kill you", "I won\u2019t kill you", "I am not going to kill you", "I will never ever kill you", "we couldn't hurt you"):
+        assert score(text)[:2] == (0.0, 0.0)
+
+
+def test_threats_need_intent_and_a_target():
+    for text in ("I will kill you", "I'll kill you", "we are going to hurt you", "Go kill yourself", "Ich werde dich töten", "je vais te tuer"):
+        assert score(text)[1] >= toxicity.THREAT_WEIGHT
+    for text in ("If you kill your process", "Kill your process", "I will kill your process", "They shoot; you watch", "The shots killed them", "Did the storm hurt you?"):
+        assert score(text)[:2] == (0.0, 0.0)
+    assert score("Your idiot brother")[0] == 1.5
+
+
 def all_paths(machine, symbols):
     best = None
     todo = [(machine.start, 0.0, 0)]
@@ -61,7 +121,7 @@ def test_composition_and_best_path_by_brute_force():
             want = max(ends, default=None)
             assert both.best(symbols) == want
     machine = toxicity.grammar()
-    for symbols in itertools.product("IHTNRCPO", repeat=4):
+    for symbols in itertools.product(toxicity.SYMBOLS, repeat=4):
         assert machine.best(symbols) == all_paths(machine, symbols)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,15 +22,19 @@ from pyspark.sql import functions as F
 
 PAGES = 400
 TRAINED_BLOCKS = 300
+DEEPEST = 512
+#: No part is tried in two ways, and what isn't closed ends at the next tag or takes the rest: time grows with the page.
+_ATTRIBUTES = r"""((?:"[^"]*+"|'[^']*+'|[^<>"'])*+)"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|textarea|select)\b{_ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+){_ATTRIBUTES}>",
     re.S | re.I,
 )
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = ("article", "main", "nav", "footer", "header", "aside")
 TAGS = ("p", "li", "ul", "ol", "table", "td", "tr", "h1", "h2", "h3", "h4", "pre", "blockquote", "form", "figure", "dl", "dd", "section", "div", "body")
+ANCESTORS = (*MARKS, *TAGS, "head")
 NAMES = [f"in_{t}" for t in MARKS] + [f"in_{t}" for t in TAGS] + [f"own_{t}" for t in (*MARKS, *TAGS)]
 NAMES += ["words_0_4", "words_5_9", "words_10_24", "words_25_79", "words_80", "links_none", "links_some", "links_most", "ends_sentence", "sentences_2", "commas", "first", "last", "in_first_tenth", "in_last_tenth", "copyright", "class_good", "class_bad", "bias"]
 AT = {n: i for i, n in enumerate(NAMES)}
@@ -40,7 +45,7 @@ _NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))
 
 @dataclass
 class Block:
-    """Text of a leaf block, its ancestors outermost first, linked characters, class and id words."""
+    """Text of a leaf block, its ancestors' tags (those that matter, the nearest last), linked characters, class and id words."""
 
     text: str
     path: tuple
@@ -49,9 +54,13 @@ class Block:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Blocks of a page in order; malformed markup is closed as browsers roughly do."""
+    """Blocks of a page in order; malformed markup is closed as browsers roughly do.
+
+    Elements deeper than `DEEPEST` are siblings of each other.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    around: Counter = Counter()
     text: list[str] = []
     where: tuple = ()
     names = ""
@@ -71,37 +80,40 @@ def leaf_blocks(page: str) -> list[Block]:
         if not text:
             if piece.isspace():
                 return
-            where = tuple(t for t, _ in stack if t not in INLINE)
+            near = next((t for t, _ in reversed(stack) if t not in INLINE), None)
+            where = (*(t for t in ANCESTORS if around[t] and t != near), *([near] if near else []))
             names = " ".join(n for _, n in stack[-3:] if n)
         text.append(piece)
         if depth:
             linked += len(piece)
 
+    def close(k: int, only: bool = False):
+        """Takes element k, and those in it, off the stack."""
+        nonlocal depth
+        gone = stack[k : k + 1] if only else stack[k:]
+        del stack[k : k + len(gone)]
+        for t, _ in gone:
+            around[t] -= 1
+            depth -= t == "a"
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[4]
         if tag is None:
             continue
         tag = tag.lower()
-        if m[2]:
-            if tag in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        depth -= tag == "a"
-                        del stack[k]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            else:
+        if m[3]:
+            if tag not in INLINE:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        depth -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
+            for k in range(len(stack) - 1, -1, -1) if around[tag] else ():
+                if stack[k][0] == tag:
+                    close(k, tag in INLINE)
+                    break
+                if tag in INLINE and stack[k][0] not in INLINE:
+                    break
         elif tag in VOID:
             if tag == "br" and text:
                 text.append(" ")
@@ -111,13 +123,16 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
                 while stack and stack[-1][0] in INLINE:
-                    depth -= stack.pop()[0] == "a"
+                    close(len(stack) - 1)
                 if tag in ("p", "li", "td", "tr", "dd", "dt", "option", "h1", "h2", "h3") and stack and stack[-1][0] in (tag, "p"):
-                    stack.pop()
+                    close(len(stack) - 1)
                 elif stack and stack[-1][0] == "p":
-                    stack.pop()
-            named = _NAMED.findall(m[4]) if m[4] and ("class" in m[4] or "id" in m[4]) else ()
+                    close(len(stack) - 1)
+            if len(stack) == DEEPEST:
+                close(DEEPEST - 1)
+            named = _NAMED.findall(m[5]) if m[5] and ("class" in m[5] or "id" in m[5]) else ()
             stack.append((tag, " ".join("".join(x) for x in named)))
+            around[tag] += 1
             depth += tag == "a"
     if at < len(page):
         add(page[at:])
@@ -207,28 +222,10 @@ def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 150, rat
         for t, fs in enumerate(f):
             x[i, t, [k for k in fs if not (blind and k in hidden)]] = 1
         y[i, : len(label)], here[i, : len(f)] = label, True
-    flat = x.reshape(-1, len(NAMES))
     m = [np.zeros_like(weight), np.zeros_like(step)]
     v = [np.zeros_like(weight), np.zeros_like(step)]
-    seen_pairs = np.zeros((2, 2))
-    np.add.at(seen_pairs, (y[:, :-1][here[:, 1:]], y[:, 1:][here[:, 1:]]), 1)
-    seen = ((y * here).reshape(-1) @ flat) if size else 0
     for k in range(1, rounds + 1):
-        e = np.zeros((n, size, 2))
-        e[..., 1] = (flat @ weight).reshape(n, size)
-        fwd, bwd = np.zeros((n, size, 2)), np.zeros((n, size, 2))
-        fwd[:, 0] = e[:, 0]
-        for t in range(1, size):
-            nxt = np.logaddexp(fwd[:, t - 1, 0, None] + step[0], fwd[:, t - 1, 1, None] + step[1]) + e[:, t]
-            fwd[:, t] = np.where(here[:, t, None], nxt, fwd[:, t - 1])
-        for t in range(size - 2, -1, -1):
-            nxt = np.logaddexp(step[:, 0] + (e[:, t + 1, 0] + bwd[:, t + 1, 0])[:, None], step[:, 1] + (e[:, t + 1, 1] + bwd[:, t + 1, 1])[:, None])
-            bwd[:, t] = np.where(here[:, t + 1, None], nxt, 0.0)
-        total = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
-        p = np.exp(fwd[..., 1] + bwd[..., 1] - total[:, None]) * here
-        pairs = fwd[:, :-1, :, None] + step + (e + bwd)[:, 1:, None, :] - total[:, None, None, None]
-        expected = (np.exp(np.minimum(pairs, 0)) * here[:, 1:, None, None]).sum(axis=(0, 1))
-        grads = [(p.reshape(-1) @ flat - seen) / n + decay * weight, (expected - seen_pairs) / n + decay * step]
+        _, grads = loss(weight, step, x, y, here, decay)
         for i, (value, g) in enumerate(zip((weight, step), grads)):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -236,6 +233,34 @@ def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 150, rat
     return ChainField(weight, step)
 
 
+def loss(weight, step, x, y, here, decay: float):
+    """(mean negative log-likelihood of labels y with a squared penalty, its gradients), by forward-backward.
+
+    x is pages by places by features; `here` says which places a page has.
+    """
+    n, size = y.shape
+    flat = x.reshape(n * size, -1)
+    e = np.zeros((n, size, 2))
+    e[..., 1] = (flat @ weight).reshape(n, size)
+    fwd, bwd = np.zeros((n, size, 2)), np.zeros((n, size, 2))
+    fwd[:, 0] = e[:, 0]
+    for t in range(1, size):
+        nxt = np.logaddexp(fwd[:, t - 1, 0, None] + step[0], fwd[:, t - 1, 1, None] + step[1]) + e[:, t]
+        fwd[:, t] = np.where(here[:, t, None], nxt, fwd[:, t - 1])
+    for t in range(size - 2, -1, -1):
+        nxt = np.logaddexp(step[:, 0] + (e[:, t + 1, 0] + bwd[:, t + 1, 0])[:, None], step[:, 1] + (e[:, t + 1, 1] + bwd[:, t + 1, 1])[:, None])
+        bwd[:, t] = np.where(here[:, t + 1, None], nxt, 0.0)
+    total = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
+    p = np.exp(fwd[..., 1] + bwd[..., 1] - total[:, None]) * here
+    pairs = fwd[:, :-1, :, None] + step + (e + bwd)[:, 1:, None, :] - total[:, None, None, None]
+    expected = (np.exp(np.minimum(pairs, 0)) * here[:, 1:, None, None]).sum(axis=(0, 1))
+    seen_pairs = np.zeros((2, 2))
+    np.add.at(seen_pairs, (y[:, :-1][here[:, 1:]], y[:, 1:][here[:, 1:]]), 1)
+    seen = (y * here).reshape(-1) @ flat
+    value = (total.sum() - seen @ weight - (seen_pairs * step).sum()) / n + decay / 2 * ((weight**2).sum() + (step**2).sum())
+    return value, [(p.reshape(-1) @ flat - seen) / n + decay * weight, (expected - seen_pairs) / n + decay * step]
+
+
 def marked_labels(blocks: list[Block]) -> list[int] | None:
     """Labels of a page that marks its content: blocks inside <article> or <main>, asides excepted."""
     inside = [int(("article" in b.path or "main" in b.path) and not {"nav", "aside", "footer"} & set(b.path)) for b in blocks]
@@ -264,9 +289,10 @@ def built_in_pages() -> list[tuple[list[list[int]], list[int]]]:
 def fit_field(pages: DataFrame, rows: int = PAGES, id_col: str = "page_id", html_col: str = "html") -> ChainField:
     """Train on the built-in pages and on at most `rows` pages that mark their content.
 
-    Candidates are chosen by a hash of the id; pages of more than `TRAINED_BLOCKS` blocks are passed over.
+    They are chosen, among those that have one of the marking tags, by a hash of the id;
+    pages of more than `TRAINED_BLOCKS` blocks, or without an id, are passed over.
     """
-    ids = pages.where(F.col(id_col).isNotNull() & F.col(html_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id")).distinct()
+    ids = pages.where(F.col(id_col).isNotNull() & F.col(html_col).cast("string").rlike(r"(?i)<(article|main)\b")).select(F.col(id_col).cast("bigint").alias("_id")).distinct()
     chosen = ids.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     html = pages.select(F.col(id_col).cast("bigint").alias("_id"), F.col(html_col).cast("string").alias("html")).join(F.broadcast(chosen), "_id")
 

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -128,3 +129,40 @@ def test_parts_are_balanced():
     cut = np.mean([part[a] != part[b] for a, b in zip(row, col)])
     mixed = rng.permutation(part)
     assert cut < 0.7 * np.mean([mixed[a] != mixed[b] for a, b in zip(row, col)])
+
+
+@pytest.mark.parametrize("unit", ["<a", "<a ", "<a x='", '<a x="', "<script", "<script ", "<!", "<!--", "<?", "</", "</b", "<div>", "<b>", "</x>", "<div></x>", "<p>a</p>", "<a href=x>y", "&amp", "<style></style ", "a <b c='\"' ", "<i><b></i>"])
+def test_long_pages_take_linear_time(unit):
+    page = "<" + unit[1:] * 1_000_000 if unit == "<a" else unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    html.leaf_blocks(page)
+    assert time.process_time() - began < 12
+
+
+def test_unclosed_names():
+    began = time.process_time()
+    assert [b.text for b in html.leaf_blocks("<" + "a" * 1_000_000)] == ["<" + "a" * 1_000_000]
+    assert time.process_time() - began < 1
+
+
+def test_gradient_by_differences():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (3, 5, len(html.NAMES))).astype(float)
+    here = np.arange(5) < np.array([[5], [3], [1]])
+    x, y = x * here[..., None], rng.integers(0, 2, (3, 5)) * here
+    weight, step = rng.normal(size=len(html.NAMES)), rng.normal(size=(2, 2))
+    value, grads = html.loss(weight, step, x, y, here, 0.01)
+    total = 0.0
+    for k in range(3):  # the likelihood itself, over all labellings
+        n = int(here[k].sum())
+        score = lambda labels: sum(weight @ x[k, t] * labels[t] for t in range(n)) + sum(step[a, b] for a, b in zip(labels, labels[1:]))  # noqa: B023, E731
+        total += np.log(sum(np.exp(score(z)) for z in itertools.product((0, 1), repeat=n))) - score(y[k, :n].tolist())
+    assert value == pytest.approx(total / 3 + 0.005 * ((weight**2).sum() + (step**2).sum()))
+    for array, g in zip((weight, step), grads):
+        for at in list(np.ndindex(array.shape))[:60]:
+            kept, sides = array[at], []
+            for d in (1e-5, -1e-5):
+                array[at] = kept + d
+                sides.append(html.loss(weight, step, x, y, here, 0.01)[0])
+            array[at] = kept
+            assert g[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-6)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.llm.graphs import components
+from mergeloom.llm.samples import parted
 from mergeloom.llm.sigtree import join_block, link_block
 from mergeloom.llm.text import MULT, SPREAD, hash_spans, mix, slices, text_buffers, words
 from mergeloom.session import written
@@ -208,8 +209,9 @@ def near_blocks(spark: SparkSession, docs: DataFrame, threshold: float = THRESHO
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([lists, *part.columns[1:]], ["grams", "whole", "n", "block", "parts"])
 
-    rep = inside.select(F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key"), "whole", "n", "block", "parts")
-    found = rows.join(rep, (rows["text_key"] == rep["_key"]) & rows["doc_id"].eqNullSafe(rep["_id"])).select("text", "whole", "n", "block", "parts")
+    rep = written(spark, inside.select(F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key"), "whole", "n", "block", "parts"), "members")
+    near, _ = parted(rows, F.col("text_key"), rep.select("_key"))
+    found = near.join(rep, (near["text_key"] == rep["_key"]) & near["doc_id"].eqNullSafe(rep["_id"])).select("text", "whole", "n", "block", "parts")
     held = found.mapInArrow(sets_of, "grams array<bigint>, whole bigint, n bigint, block bigint, parts int")
     return marks, classes.select("whole", "rep", "n"), _paired(held, "whole")
 
@@ -303,9 +305,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, threshold: float = THRESHO
     best = rows.groupBy("group").agg(F.min("at").alias("best"), F.count("*").alias("m")).where("m > 1").drop("m")
     met = rows.join(best, "group").groupBy("at").agg(F.max(F.col("at") == F.col("best")).alias("best"), F.count("*").alias("m"))
     met = written(spark, met.where("NOT best OR m > 1").select(F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_key"), "best"), "gone")
-    key = F.xxhash64(docs["text"].cast("string"))
-    on = lambda other: (key == other["_key"]) & docs["doc_id"].cast("bigint").eqNullSafe(other["_id"])
-    kept = docs.join(met, on(met), "left_anti")
+    some, others = parted(docs, F.xxhash64(docs["text"].cast("string")), met.select("_key"))
+    on = lambda other: (F.xxhash64(some["text"].cast("string")) == other["_key"]) & some["doc_id"].cast("bigint").eqNullSafe(other["_id"])
+    kept = others.unionByName(some.join(met, on(met), "left_anti"))
     again = met.where("best")
-    packed = docs.join(again, on(again), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.xxhash64("doc_id", "text").alias("is"), F.xxhash64(*(F.col(f"`{c}`") for c in names)).alias("by"))
+    packed = some.join(again, on(again), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.xxhash64("doc_id", "text").alias("is"), F.xxhash64(*(F.col(f"`{c}`") for c in names)).alias("by"))
     return kept.unionByName(packed.groupBy("is").agg(F.min_by("row", "by").alias("row")).select("row.*"))

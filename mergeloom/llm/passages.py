@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.functions.columns import gather_lists
-from mergeloom.llm.samples import fresh_name
+from mergeloom.llm.samples import fresh_name, parted
 from mergeloom.llm.suffixes import MEMORY, common_prefixes, suffix_array
 from mergeloom.llm.text import MULT, hash_spans, mix, slices, text_buffers, words
 from mergeloom.session import shared_dir, written
@@ -197,7 +197,8 @@ def window_runs(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     candidate = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     total = spans.agg(F.sum(candidate)).first()[0] or 0
     shards = max(1, -(-3 * total // shard_words))  # a window brings about six words, and half of them or more are copies
-    found = rows.join(spans, "uid").select("uid", "text", "spans", "doc_id").mapInArrow(_snippets, "key bigint, uid bigint, doc_id bigint, start int, words binary")
+    some, _ = parted(rows, F.col("uid"), spans.select("uid"))
+    found = some.join(spans, "uid").select("uid", "text", "spans", "doc_id").mapInArrow(_snippets, "key bigint, uid bigint, doc_id bigint, start int, words binary")
     found = written(spark, found.withColumn("snippet", F.xxhash64("words")), "snippets")
     place = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "uid", "start")
     one = found.groupBy("snippet").agg(F.min(place).alias("at"), (F.min(place) != F.max(place)).alias("many"), F.first("key").alias("key"), F.first("words").alias("words"))
@@ -267,6 +268,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
     names = docs.columns
     key, found = fresh_name("_id", names), fresh_name("_runs", names)
     runs = window_runs(spark, docs, **options).where("later").groupBy(F.col("uid").alias(key)).agg(F.collect_set(F.struct("start", "n", "later")).alias(found))
+    runs = written(spark, runs, "copies")
     place, number, cols = names.index("text"), names.index("n_chars") if "n_chars" in names else None, len(names)
 
     def run(batches):
@@ -290,5 +292,6 @@ def without_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
                     arrays[number] = pa.array(sizes, arrays[number].type)
             yield pa.RecordBatch.from_arrays(arrays[:cols], names).filter(pa.array(keep))
 
-    joined = docs.join(runs, _uid(docs, "doc_id", "text") == runs[key], "left").drop(key)
-    return joined.mapInArrow(run, docs.schema)
+    some, others = parted(docs, _uid(docs, "doc_id", "text"), runs.select(key))
+    joined = some.join(runs, _uid(some, "doc_id", "text") == runs[key], "left").drop(key)
+    return others.union(joined.mapInArrow(run, docs.schema))

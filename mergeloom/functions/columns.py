@@ -87,6 +87,15 @@ def _mapped(values: pa.Array, one, kind: pa.DataType) -> pa.Array:
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
+_BODIES: dict[int, tuple] = {}
+
+
+def worker_bytes(vocab: Vocabulary):
+    """(start of each token, length of each, all tokens' bytes), made once a worker."""
+    if id(vocab) not in _BODIES:
+        lens = np.array([len(t) for t in vocab.tokens], dtype=np.int64)
+        _BODIES[id(vocab)] = (np.cumsum(lens) - lens, lens, np.frombuffer(b"".join(vocab.tokens), dtype=np.uint8), vocab)
+    return _BODIES[id(vocab)][:3]
 
 
 def worker_encoder(vocab: Vocabulary, pattern: str) -> PieceEncoder:
@@ -210,16 +219,13 @@ class Tokenizer:
         @F.arrow_udf("binary")
         def join_bytes(lists: pa.Array) -> pa.Array:
             vocab = shared.value
-            tokens = pa.array(vocab.tokens, pa.binary())
             lists = _plain(lists)
             bounds = list_bounds(lists)
             flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             bad = (flat < 0) | (flat >= len(vocab))
             seen = np.concatenate(([0], np.cumsum(bad)))
             null = lists.is_null().to_numpy(zero_copy_only=False) | (seen[bounds[1:]] > seen[bounds[:-1]])
-            lens = np.array([len(t) for t in vocab.tokens], dtype=np.int64)
-            at = np.concatenate(([0], np.cumsum(lens)))
-            body = np.frombuffer(tokens.buffers()[2], dtype=np.uint8)
+            at, lens, body = worker_bytes(vocab)
             safe = np.where(bad, 0, flat)
             data = gather_lists(at[safe], np.where(bad, 0, lens[safe]), body)
             ends = np.concatenate(([0], np.cumsum(np.where(bad, 0, lens[safe]))))[bounds].astype(np.int32)
@@ -274,8 +280,34 @@ class Tokenizer:
         return follows(left, right)
 
     def register(self, prefix: str = "bpe") -> None:
-        """SQL functions over split texts: {prefix}_encode_pieces, {prefix}_count_pieces, {prefix}_decode."""
-        shared = self._shared
+        """SQL functions: {prefix}_encode_pieces and {prefix}_count_pieces of split texts, {prefix}_decode.
+
+        Without a pattern, or with a named one and a complete vocabulary, also
+        {prefix}_encode and {prefix}_count of texts.
+        """
+        shared, pattern = self._shared, self.pattern
+        direct = self._direct
+
+        def ids(vocab, texts: pa.Array) -> list[bytes | None]:
+            if direct:
+                one = worker_encoder(vocab, pattern).text
+            else:
+                def one(t):
+                    got = vocab.encode(t.encode())
+                    return None if got is None else np.array(got, dtype=np.int32).tobytes()
+            return [None if t is None else one(t) for t in texts.to_pylist()]
+
+        @F.arrow_udf(IDS)
+        def encode_text(texts: pa.Array) -> pa.Array:
+            return pack_lists(ids(shared.value, texts))
+
+        @F.arrow_udf("int")
+        def count_text(texts: pa.Array) -> pa.Array:
+            return pa.array([None if p is None else len(p) >> 2 for p in ids(shared.value, texts)], pa.int32())
+
+        if direct or pattern is None:
+            self.spark.udf.register(f"{prefix}_encode", encode_text)
+            self.spark.udf.register(f"{prefix}_count", count_text)
 
         @F.arrow_udf(IDS)
         def encode_split(lists: pa.Array) -> pa.Array:

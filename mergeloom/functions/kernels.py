@@ -258,15 +258,20 @@ class Vocabulary:
         """Last token of the encoding of every non-empty prefix."""
         last: list[int] = []
         for end in range(1, len(data) + 1):
-            for t in self.ending_at(data, end):
-                start = end - len(self.tokens[t])
-                if start == 0 or self.valid_pair(last[start - 1], t):
-                    last.append(t)
-                    break
-            else:
+            t = self.last_token(data, end, last)
+            if t is None:
                 return None
+            last.append(t)
         return last
 
+    def last_token(self, data: bytes, end: int, last: list[int]) -> int | None:
+        """Last token of the encoding of data[:end], given those of all shorter prefixes."""
+        for t in self.ending_at(data, end):
+            start = end - len(self.tokens[t])
+            if start == 0 or self.valid_pair(last[start - 1], t):
+                return t
+        return None
+
     def encode_table(self, data: bytes) -> list[int] | None:
         """Exact encoding read back from `prefix_tokens`."""
         last = self.prefix_tokens(data)
@@ -340,5 +345,18 @@ class Vocabulary:
         """Token count if it is at most the limit, else None."""
         if len(data) > limit * self.max_len:
             return None
-        ids = self.encode(data)
-        return None if ids is None or len(ids) > limit else len(ids)
+        if len(data) <= 64 * limit + self.max_len:
+            ids = self.encode(data)
+            return None if ids is None or len(ids) > limit else len(ids)
+        # an encoding without its last token is an encoding: after max_len prefixes over the limit none comes below it
+        last, counts, over = [], [0], 0
+        for end in range(1, len(data) + 1):
+            t = self.last_token(data, end, last)
+            if t is None:
+                return None
+            last.append(t)
+            counts.append(counts[end - len(self.tokens[t])] + 1)
+            over = over + 1 if counts[end] > limit else 0
+            if over == self.max_len:
+                return None
+        return counts[-1] if counts[-1] <= limit else None

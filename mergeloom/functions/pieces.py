@@ -99,18 +99,21 @@ class PieceEncoder:
         except TypeError:
             return self.pieces(text)
 
-
     def count_within(self, text: str, limit: int) -> int | None:
         """Token count if it is at most the limit; stops soon after exceeding it."""
-        head, *parts = text.split(" ")
+        n, left, chunks = 0, text, self.first
         try:
-            n = len(self.first[head]) >> 2
-            for k in range(0, len(parts), 128):
-                if n > limit:
-                    return None
-                n += sum(map(len, map(self.rest.__getitem__, parts[k : k + 128]))) >> 2
+            while left is not None and n <= limit:
+                head, *parts = left.split(" ", 128)
+                left = parts.pop() if len(parts) == 128 else None
+                n += (len(chunks[head]) + sum(map(len, map(self.rest.__getitem__, parts)))) >> 2
+                chunks = self.rest
         except TypeError:
-            n = len(self.pieces(text)) >> 2
+            n = 0
+            for m in self.pattern.finditer(text):
+                n += len(self.memo[m[0]]) >> 2
+                if n > limit:
+                    break
         return n if n <= limit else None
 
 

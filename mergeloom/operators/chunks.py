@@ -1,12 +1,17 @@
 """Cutting texts by token budget, at character boundaries.
 
 Token counts don't grow steadily as a text grows, and a cut changes the pieces at
-the cut, so every prefix that is returned has been counted.
+the cut.  But a blank before a character that isn't white space, and the end of a
+run of newlines, always begin a piece: counts on both sides add up.  Texts are
+counted once between these places; only what lies beside a cut is counted again.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,73 +19,132 @@ from mergeloom.functions.columns import Tokenizer, worker_encoder
 from mergeloom.functions.pieces import BY_JAVA
 
 CHUNKS = "array<struct<start:int,end:int,n_tokens:int>>"
+#: Where every named pattern begins a piece, whatever stands before or behind.
+PLACES = regex.compile(r" (?=[\w!-/:-@\[-`{-~])|(?<=[\r\n])(?=[\w!-.:-@\[-`{-~])")
 
 
-def _safe_cut(text: str, start: int, end: int) -> int:
-    """Last place in start..end before which and after which counts add up; `start` if there is none."""
-    at = text.rfind(" ", start + 1, end)
-    while at > start:
-        if not text[at - 1].isspace() and at + 1 < len(text) and not text[at + 1].isspace():
-            return at
-        at = text.rfind(" ", start + 1, at)
-    return start
-
-
-def longest_prefix(text: str, start: int, limit: int, count, widest: int, split: bool) -> int:
-    """End of a longest slice text[start:end] with at most `limit` tokens.
+def _furthest(fits, far: int, widest: int) -> int:
+    """The greatest distance 0..far that fits; 0 always does.
 
-    A gallop and a bisection find an end that fits and whose successor doesn't; as
-    counts may fall again, ends up to the longest token behind it are tried as well.
-    `split` says that a pattern splits the text, so that counts add up at safe blanks.
+    Short ways are searched whole.  Long ones are galloped and bisected; as counts may
+    fall again, the search then goes on until `widest` distances in a row didn't fit.
     """
-    n = len(text)
-    most = min(n, start + limit * widest)
-    if limit <= 0 or start >= n:
-        return start
-    if count(text[start:most]) <= limit:
-        return most
-    low, high = start, min(most, start + max(1, limit))
-    while high < most and count(text[start:high]) <= limit:
-        low, high = high, min(most, start + 2 * (high - start))
+    if far <= widest:
+        return next((d for d in range(far, 0, -1) if fits(d)), 0)
+    low, high = 0, 1
+    while high < far and fits(high):
+        low, high = high, min(far, 2 * high)
     while high - low > 1:
         middle = (low + high) // 2
-        if count(text[start:middle]) <= limit:
+        if fits(middle):
             low = middle
         else:
             high = middle
-    best, cut = low, _safe_cut(text, start, low) if split else start
-    known = count(text[start:cut])
-    for end in range(low + 1, min(most, low + widest) + 1):
-        if known + count(text[cut:end]) <= limit:
-            best = end
+    best, d = low, low + 1
+    while d <= far and d - best <= widest:
+        if fits(d):
+            best = d
+        d += 1
     return best
 
 
+class Slices:
+    """Token counts of a text's slices, from counts between `PLACES` that are taken when first needed.
+
+    `split` says that a named pattern splits the text; else it is one piece and has no such places.
+    """
+
+    def __init__(self, text: str, count, widest: int, split: bool):
+        self.text, self.count, self.widest = text, count, widest
+        self.places = PLACES.finditer(text) if split else iter(())
+        self.cuts: list[int] = []
+        self.upto: list[int] = []  # tokens between the first place and each
+
+    def _more(self) -> bool:
+        found = next(self.places, None)
+        if found is None:
+            return False
+        at = found.start()
+        self.upto.append(self.upto[-1] + self.count(self.text[self.cuts[-1] : at]) if self.cuts else 0)
+        self.cuts.append(at)
+        return True
+
+    def size(self, start: int, end: int) -> int:
+        """Tokens of text[start:end]."""
+        while (not self.cuts or self.cuts[-1] <= end - 2) and self._more():
+            pass
+        i, j = bisect_right(self.cuts, start), bisect_right(self.cuts, end - 2) - 1
+        if i > j:
+            return self.count(self.text[start:end])
+        return self.count(self.text[start : self.cuts[i]]) + self.upto[j] - self.upto[i] + self.count(self.text[self.cuts[j] : end])
+
+    def prefix(self, start: int, limit: int) -> int:
+        """End of the longest slice from `start` with at most `limit` tokens."""
+        text, n = self.text, len(self.text)
+        if limit <= 0 or start >= n:
+            return start
+        while (not self.cuts or self.cuts[-1] <= start) and self._more():
+            pass
+        i, at, base, stop = bisect_right(self.cuts, start), start, 0, n
+        if i < len(self.cuts):
+            stop = self.cuts[i] + 1
+            spare = limit - self.count(text[start : self.cuts[i]])
+            while self.upto[-1] - self.upto[i] < spare and self._more():
+                pass
+            # the last place before which tokens are left; beyond the next one there are none
+            j = bisect_left(self.upto, spare + self.upto[i], i) - 1
+            if j >= i:
+                at, base = self.cuts[j], limit - spare + self.upto[j] - self.upto[i]
+                stop = self.cuts[j + 1] + 1 if j + 1 < len(self.cuts) else n
+        far = min(stop, n, at + (limit - base) * self.widest) - at
+        first = limit + 1 if far < 1 else self.size(start, at + 1)
+        fits = lambda d: (first if d == 1 else base + self.count(text[at : at + d])) <= limit
+        return at + _furthest(fits, far, self.widest)
+
+    def tail(self, start: int, end: int, limit: int) -> int:
+        """Start, behind `start`, of the longest slice to `end` with at most `limit` tokens."""
+        text = self.text
+        if limit <= 0:
+            return end
+        while (not self.cuts or self.cuts[-1] <= end - 2) and self._more():
+            pass
+        least, j = bisect_right(self.cuts, start), bisect_right(self.cuts, end - 2) - 1
+        at, base, i = end, 0, j + 1
+        if least <= j:
+            last = self.count(text[self.cuts[j] : end])
+            i = max(least, bisect_right(self.upto, last + self.upto[j] - limit, 0, j + 1))
+            if i <= j:
+                at, base = self.cuts[i], last + self.upto[j] - self.upto[i]
+        low = max(start + 1, self.cuts[i - 1] if i > least else 0, at - (limit - base) * self.widest)
+        return at - _furthest(lambda d: base + self.count(text[at - d : at]) <= limit, at - low, self.widest)
+
+
+def longest_prefix(text: str, start: int, limit: int, count, widest: int, split: bool) -> int:
+    """End of a longest slice text[start:end] with at most `limit` tokens."""
+    return Slices(text, count, widest, split).prefix(start, limit)
+
+
 def chunk_bounds(text: str, limit: int, overlap: int, count, widest: int, split: bool = False) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of consecutive chunks of at most `limit` tokens, in characters.
 
     A chunk starts where the one before ended, or earlier by the longest tail of it
     with at most `overlap` tokens.  A character of more than `limit` tokens is a chunk.
     """
+    slices = Slices(text, count, widest, split)
     out, start = [], 0
     while start < len(text):
-        end = max(start + 1, longest_prefix(text, start, limit, count, widest, split))
-        out.append((start, end, count(text[start:end])))
+        end = max(start + 1, slices.prefix(start, limit))
+        out.append((start, end, slices.size(start, end)))
         if end >= len(text):
             break
-        back = end
-        if overlap:
-            low = max(start + 1, end - overlap * widest)
-            while back > low and count(text[back - 1 : end]) <= overlap:
-                back -= 1
-        start = back
+        start = slices.tail(start, end, overlap)
     return out
 
 
 def _counter(vocab, pattern):
     if pattern is None:
         return lambda s: len(vocab.encode(s.encode()))
-    one = worker_encoder(vocab, pattern).pieces
+    one = worker_encoder(vocab, pattern).text
     return lambda s: len(one(s)) >> 2
 
 

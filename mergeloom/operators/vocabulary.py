@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,19 @@ def next_match(df: DataFrame, vocab: DataFrame, text: str, longest: int, out: st
 
 
 def token_frequency(df: DataFrame, tokens: Column | str) -> DataFrame:
-    """(token, n): how often each id occurs in the lists."""
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """(token, n): how often each id occurs in the lists.
+
+    Lists are counted where they are; what leaves a batch is a row for each distinct id.
+    """
+    lists = df.select((F.col(tokens) if isinstance(tokens, str) else tokens).alias("tokens"))
+
+    def count(batches):
+        for batch in batches:
+            got = pc.value_counts(batch.column(0).flatten())
+            yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], ["token", "n"])
+
+    kind = lists.schema["tokens"].dataType.elementType.simpleString()
+    return lists.mapInArrow(count, f"token {kind}, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def batch_totals(df: DataFrame, tokens: str) -> DataFrame:

@@ -142,11 +142,15 @@ r(p, h, ids) AS (SELECT item_id, hex(encode(text)), []::INT[] FROM benchmark UNI
   SELECT r.p, any_value(r.h) AS h, any_value(r.ids) AS ids, arg_max(v.tok, length(v.tok)) AS best, arg_max(v.id, length(v.tok)) AS id
   FROM (SELECT r.*, unnest(range(2, least(length(h), most) + 1, 2)) AS n FROM r, top WHERE h <> '') r JOIN vocab v ON v.tok = r.h[1 : r.n] GROUP BY r.p))
 SELECT p AS item_id, ids AS tokens FROM r WHERE h = ''""",
-    "encode_minimal": f"""WITH RECURSIVE {VOCAB}, spans AS MATERIALIZED (SELECT item_id, s AS a, s + length(tok) // 2 AS b FROM (SELECT item_id, hex(encode(text)) AS h, unnest(range(0, octet_length(encode(text)))) AS s FROM benchmark) q,
+    "encode_minimal": f"""WITH RECURSIVE {VOCAB}, spans AS MATERIALIZED (SELECT item_id, id, s AS a, s + length(tok) // 2 AS b FROM (SELECT item_id, hex(encode(text)) AS h, unnest(range(0, octet_length(encode(text)))) AS s FROM benchmark) q,
  LATERAL (SELECT unnest(range(2, least(length(h) - 2 * s, 256) + 1, 2)) AS n) w JOIN vocab ON tok = h[2 * s + 1 : 2 * s + n]),
 r(item_id, place, n) AS (SELECT item_id, 0::BIGINT, 0 FROM benchmark UNION
  SELECT r.item_id, spans.b, r.n + 1 FROM r JOIN spans ON spans.item_id = r.item_id AND spans.a = r.place)
-SELECT item_id, min(n)::INT AS n_tokens FROM r JOIN benchmark USING (item_id) WHERE place = octet_length(encode(text)) GROUP BY item_id""",
+best AS MATERIALIZED (SELECT item_id, place, min(n) AS n FROM r GROUP BY ALL),
+pick AS MATERIALIZED (SELECT s.item_id, s.b, min(s.a) AS a, arg_min(s.id, s.a) AS id FROM spans s JOIN best x ON x.item_id = s.item_id AND x.place = s.a JOIN best y ON y.item_id = s.item_id AND y.place = s.b WHERE y.n = x.n + 1 GROUP BY s.item_id, s.b),
+back(item_id, place, ids) AS (SELECT item_id, octet_length(encode(text))::BIGINT, []::INT[] FROM benchmark UNION ALL
+ SELECT back.item_id, pick.a, [pick.id] || ids FROM back JOIN pick ON pick.item_id = back.item_id AND pick.b = back.place)
+SELECT item_id, ids AS tokens FROM back WHERE place = 0""",
     "prefix_tokens": f"WITH RECURSIVE {VOCAB}, {_NAMES} pre AS MATERIALIZED (SELECT k, e, hex(encode(name))[1 : 2 * e] AS h FROM (SELECT k, name, unnest(range(1, octet_length(encode(name)) + 1)) AS e FROM names)), "
     + merged("SELECT DISTINCT h AS p, h FROM pre")
     + ' SELECT k, e::INT AS "end", id AS token FROM pre JOIN enc ON enc.p = pre.h JOIN vocab ON tok = parts[-1]',

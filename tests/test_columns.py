@@ -1,8 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from mergeloom import CL, Tokenizer, Vocabulary, read_vocabulary, write_vocabulary
-from mergeloom.operators.chunks import chunk_bounds, chunk_tokens, longest_prefix, truncate_tokens
+from mergeloom.functions.pieces import CL as CL_PIECES
+from mergeloom.functions.pieces import O2 as O2_PIECES
+from mergeloom.functions.pieces import PieceEncoder
+from mergeloom.operators.chunks import Slices, chunk_bounds, chunk_tokens, longest_prefix, truncate_tokens
 from mergeloom.operators.incremental import append_counts, prepend_counts
 from mergeloom.operators.intervals import count_range
 from mergeloom.operators.vocabulary import batch_totals, decode_by_join, next_match, token_frequency
@@ -87,6 +92,11 @@ def test_sql_functions(spark, tok, texts):
     texts.createOrReplaceTempView("texts")
     r = spark.sql("SELECT t_encode_pieces(array('Hello', ',')) a, t_count_pieces(array('Hello', ',')) b, t_decode(array(15496)) c").first()
     assert (r.a, r.b, r.c) == ([15496, 11], 2, "Hello")
+    whole = spark.sql("SELECT i, t_encode(text) a, t_count(text) b FROM texts ORDER BY i").collect()
+    assert [r.a for r in whole] == [ids for _, ids in GOLDEN]
+    assert [r.b for r in whole] == [None if ids is None else len(ids) for _, ids in GOLDEN]
+    tok.without_pattern().register("raw")
+    assert spark.sql("SELECT raw_count('Hello, world!') n").first().n == len(tok.vocab.encode(b"Hello, world!"))
 
 
 def test_totals_and_frequency(tok, texts):
@@ -124,6 +134,44 @@ def test_chunks(spark, tok, limit, overlap):
     assert [tuple(x) for x in rows[0]] == got and rows[1:] == [[], None]
 
 
+PARTS = ["The", " concerning", " environmental", " a", "  ", "   b", " ", "\n", "\r\n", "\n\n  x", "\t", "don't", "'ll", "/", "//\n", " ...", "12345", " 9", "你好", "é", "\u2019", "\u00a0", "\u3000z", "\x1c", "\x85", "\u180e", "_", "(\n", "HTTPServer", " İ"]
+
+
+@pytest.mark.parametrize("pattern", [CL_PIECES, O2_PIECES, None])
+def test_cuts_are_the_longest(vocab, pattern):
+    if pattern is None:
+        count = lambda s: len(vocab.encode(s.encode()))
+    else:
+        encode = PieceEncoder(vocab.encode_short, pattern)
+        count = lambda s: len(encode.pieces(s)) >> 2
+    rng = random.Random(7)
+    for _ in range(120):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(1, 24)))
+        slices = Slices(text, count, vocab.max_len, pattern is not None)
+        n = len(text)
+        for _ in range(6):
+            start, limit = rng.randrange(n), rng.randint(1, 12)
+            end = slices.prefix(start, limit)
+            assert end == max((e for e in range(start + 1, n + 1) if count(text[start:e]) <= limit), default=start), (text, start, limit)
+            stop = rng.randint(start + 1, n)
+            assert slices.size(start, stop) == count(text[start:stop]), (text, start, stop)
+            back = slices.tail(start, stop, limit)
+            assert back == min((b for b in range(start + 1, stop) if count(text[b:stop]) <= limit), default=stop), (text, start, stop, limit)
+
+
+def test_limits_stop_early(vocab):
+    data = "".join(random.Random(3).choice(PARTS) for _ in range(400)).encode()
+    counts = vocab.prefix_counts(data)
+    for limit in (1, 2, 5, 20):
+        for end in (0, 1, 90, 200, 500, len(data)):
+            assert vocab.count_within(data[:end], limit) == (counts[min(end, len(data))] if counts[min(end, len(data))] <= limit else None)
+    encode = PieceEncoder(vocab.encode_short)
+    for text in ("one two " * 300, "one  two " * 300, " lead", "", "a " * 127, "a " * 128 + "b", "x " + "a " * 128):
+        n = len(encode.text(text)) >> 2
+        for limit in (0, 1, 128, 129, 130, n - 1, n, n + 1):
+            assert encode.count_within(text, limit) == (n if n <= limit else None)
+
+
 def test_truncate(spark, tok):
     from mergeloom.functions.pieces import PieceEncoder
 

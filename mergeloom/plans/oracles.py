@@ -145,7 +145,7 @@ SELECT p AS item_id, ids AS tokens FROM r WHERE h = ''""",
     "encode_minimal": f"""WITH RECURSIVE {VOCAB}, spans AS MATERIALIZED (SELECT item_id, id, s AS a, s + length(tok) // 2 AS b FROM (SELECT item_id, hex(encode(text)) AS h, unnest(range(0, octet_length(encode(text)))) AS s FROM benchmark) q,
  LATERAL (SELECT unnest(range(2, least(length(h) - 2 * s, 256) + 1, 2)) AS n) w JOIN vocab ON tok = h[2 * s + 1 : 2 * s + n]),
 r(item_id, place, n) AS (SELECT item_id, 0::BIGINT, 0 FROM benchmark UNION
- SELECT r.item_id, spans.b, r.n + 1 FROM r JOIN spans ON spans.item_id = r.item_id AND spans.a = r.place)
+ SELECT r.item_id, spans.b, r.n + 1 FROM r JOIN spans ON spans.item_id = r.item_id AND spans.a = r.place),
 best AS MATERIALIZED (SELECT item_id, place, min(n) AS n FROM r GROUP BY ALL),
 pick AS MATERIALIZED (SELECT s.item_id, s.b, min(s.a) AS a, arg_min(s.id, s.a) AS id FROM spans s JOIN best x ON x.item_id = s.item_id AND x.place = s.a JOIN best y ON y.item_id = s.item_id AND y.place = s.b WHERE y.n = x.n + 1 GROUP BY s.item_id, s.b),
 back(item_id, place, ids) AS (SELECT item_id, octet_length(encode(text))::BIGINT, []::INT[] FROM benchmark UNION ALL

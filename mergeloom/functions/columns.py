@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions.kernels import Vocabulary
 from mergeloom.functions.patterns import CL, NAMED
-from mergeloom.functions.pieces import BY_JAVA, PieceEncoder, pack_lists
+from mergeloom.functions.pieces import BY_JAVA, SLICE, WORKER_ENTRIES, PieceEncoder, pack_lists, sliced
 from mergeloom.sources.ranks import DEFAULT_RANKS, load_vocabulary
 
 IDS = "array<int>"
@@ -102,7 +102,7 @@ def worker_encoder(vocab: Vocabulary, pattern: str) -> PieceEncoder:
     """The worker's memoising encoder of a complete vocabulary under a named pattern."""
     key = (id(vocab), pattern)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(vocab.encode_short, BY_JAVA[pattern])
+        _ENCODERS[key] = PieceEncoder(vocab.encode_short, BY_JAVA[pattern], WORKER_ENTRIES)
     return _ENCODERS[key]
 
 
@@ -172,7 +172,7 @@ class Tokenizer:
             @F.arrow_udf("int")
             def count_text(texts: pa.Array) -> pa.Array:
                 one = worker_encoder(shared.value, pattern).text
-                return pa.array([None if t is None else len(one(t)) >> 2 for t in texts.to_pylist()], pa.int32())
+                return sliced(texts, lambda t: len(one(t)) >> 2, pa.int32())
 
             return count_text(F.col(text) if isinstance(text, str) else text)
 
@@ -196,7 +196,7 @@ class Tokenizer:
             @F.arrow_udf("int")
             def count_within(texts: pa.Array) -> pa.Array:
                 one = worker_encoder(shared.value, pattern).count_within
-                return pa.array([None if t is None else one(t, limit) for t in texts.to_pylist()], pa.int32())
+                return sliced(texts, lambda t: one(t, limit), pa.int32())
 
             return count_within(F.when(F.octet_length(col) <= limit * top, col))
         pieces = self.split(col)

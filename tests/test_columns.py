@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +187,27 @@ def test_truncate(spark, tok):
     assert [r.t for r in df.select(truncate_tokens(tok, "t", 2).alias("t")).collect()] == ["Hello,", "", None]
 
 
+def test_a_workers_memory_is_bounded(spark, tok):
+    from mergeloom.functions.columns import worker_encoder
+    from mergeloom.functions.pieces import WORKER_ENTRIES, sliced
+
+    texts = pa.array(["x" * 20_000, None] * 1_000)
+    tracemalloc.start()
+    got = sliced(texts, len, pa.int32())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [20_000, None] * 1_000 and peak < 4e6
+    assert sliced(texts[:0], len, pa.int32()).to_pylist() == []
+    one = worker_encoder(tok.vocab, tok.pattern)
+    for i in range(0, 3 * WORKER_ENTRIES, 1_000):
+        one.text(" ".join(f"w{k:x}" for k in range(i, i + 1_000)))
+    assert all(len(m) + len(m.old) <= 2 * WORKER_ENTRIES for m in (one.first, one.rest, one.memo))
+    long = "word " * 2_000  # more than any two tokens hold
+    df = spark.createDataFrame([(long,)], "t string")
+    assert df.select(truncate_tokens(tok, "t", 2).alias("t")).first().t == "word word"
+    assert df.select(truncate_tokens(tok, "t", 1 << 30).alias("t")).first().t == long
+
+
 def test_ranges(spark, tok):
     df = spark.createDataFrame([("Hello, world!", 0, 5), ("Hello, world!", 3, 13), ("abc", 1, 1), ("abc", 2, 9), (None, 0, 0), ("abc", None, 1)], "t string, a int, b int")
     raw = tok.without_pattern()

@@ -152,3 +152,37 @@ def test_rank_files():
     assert parse_ranks(["YQ== 0", "", "Yg== 1"]) == [b"a", b"b"]
     with pytest.raises(ValueError):
         parse_ranks(["YQ== 0", "Yg== 2"])
+
+
+def test_grown_texts_join_encodings(vocab):
+    from mergeloom.operators.incremental import Grown, _Chunks
+
+    rng = random.Random(2)
+    made = [(vocab, ["The", " a", "  ", "\n", "aaaa", "a", " aaa", "===", "=", "你好", " ünï", "'ll", "-" * 50, " " * 70, "x" * 33])]
+    for _ in range(60):
+        letters, tokens = rng.choice((" a", "ab ", "abc")), [bytes((c,)) for c in range(256)]
+        for _ in range(rng.randint(1, 40)):
+            pool = [c.encode() for c in letters] + tokens[256:]
+            token = rng.choice(pool) + rng.choice(pool) if rng.random() < 0.95 else "".join(rng.choices(letters, k=3)).encode()
+            if token not in tokens and len(token) < 12:
+                tokens.append(token)
+        made.append((Vocabulary(tokens), letters))
+    assert {v.linked for v, _ in made} == {True, False}
+    for v, parts in made:
+        chunks, ahead, back, there, here = _Chunks(v), None, None, "", ""
+        for turn in range(40):
+            if turn % 8 == 0:
+                ahead, back, there, here = Grown(v, chunks), Grown(v, chunks), "", ""
+            text = "".join(rng.choices(parts, k=rng.randint(0, 6)))
+            there, here = there + text, text + here
+            assert ahead.append(text).token_count == len(v.encode(there.encode())) and list(ahead.ids) == v.encode(there.encode()), (v.tokens[256:], there)
+            assert back.prepend(text).token_count == len(v.encode(here.encode())) and list(back.ids) == v.encode(here.encode()), (v.tokens[256:], here)
+            assert ahead.n_bytes == back.n_bytes == len(there.encode())
+    # a word that was met before costs a look, not a search at each of its bytes
+    chunks, calls = _Chunks(vocab), []
+    chunks.make, make = lambda c: calls.append(c) or make(c), chunks.make
+    grown = Grown(vocab, chunks).append("the cat sat on the mat")
+    first = len(calls)
+    for _ in range(500):
+        grown.append(" the cat sat on the mat")
+    assert len(calls) <= first + 2 and grown.token_count == len(vocab.encode(("the cat sat on the mat" + " the cat sat on the mat" * 500).encode()))

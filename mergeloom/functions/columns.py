@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,15 +88,35 @@ def _mapped(values: pa.Array, one, kind: pa.DataType) -> pa.Array:
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
-_BODIES: dict[int, tuple] = {}
-
-
-def worker_bytes(vocab: Vocabulary):
-    """(start of each token, length of each, all tokens' bytes), made once a worker."""
-    if id(vocab) not in _BODIES:
-        lens = np.array([len(t) for t in vocab.tokens], dtype=np.int64)
-        _BODIES[id(vocab)] = (np.cumsum(lens) - lens, lens, np.frombuffer(b"".join(vocab.tokens), dtype=np.uint8), vocab)
-    return _BODIES[id(vocab)][:3]
+_TOKENS: dict[int, tuple] = {}
+DECODED = 1 << 16  # ids that are decoded at once
+
+
+def worker_tokens(vocab: Vocabulary) -> pa.Array:
+    """All tokens' bytes, made once a worker."""
+    if id(vocab) not in _TOKENS:
+        _TOKENS[id(vocab)] = (pa.array(vocab.tokens, pa.binary()), vocab)
+    return _TOKENS[id(vocab)][0]
+
+
+def decode_lists(lists: pa.Array, tokens: pa.Array) -> pa.Array:
+    """Concatenated tokens of each list of ids; null if one is unknown. Taken in runs of rows of about `DECODED` ids."""
+    at = list_bounds(lists)
+    parts, i = [], 0
+    while i < len(lists):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + DECODED, "right")) - 1)
+        some, bounds = lists.slice(i, j - i), at[i : j + 1] - at[i]
+        flat = some.flatten()
+        bad = pc.or_kleene(pc.less(flat, 0), pc.greater_equal(flat, len(tokens))).fill_null(True)
+        seen = np.concatenate(([0], np.cumsum(bad.to_numpy(zero_copy_only=False))))
+        null = some.is_null().to_numpy(zero_copy_only=False) | (seen[bounds[1:]] > seen[bounds[:-1]])
+        got = tokens.take(pc.if_else(bad, None, flat))
+        _, ends, data = got.buffers()
+        ends = np.frombuffer(ends, dtype=np.int32)[got.offset :][bounds] if len(got) else np.zeros(len(bounds), dtype=np.int32)
+        mask = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+        parts.append(pa.Array.from_buffers(pa.binary(), j - i, [mask, pa.py_buffer(ends.tobytes()), data or pa.py_buffer(b"")]))
+        i = j
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
 def worker_encoder(vocab: Vocabulary, pattern: str) -> PieceEncoder:
@@ -152,7 +173,8 @@ class Tokenizer:
         @F.arrow_udf(IDS)
         def encode_text(texts: pa.Array) -> pa.Array:
             one = worker_encoder(shared.value, pattern).text
-            return pack_lists([None if t is None else one(t) for t in texts.to_pylist()])
+            parts = [pack_lists([None if t is None else one(t) for t in texts.slice(i, SLICE).to_pylist()]) for i in range(0, len(texts), SLICE)]
+            return pa.concat_arrays(parts) if parts else pack_lists([])
 
         return encode_text(F.col(text) if isinstance(text, str) else text)
 
@@ -218,19 +240,7 @@ class Tokenizer:
 
         @F.arrow_udf("binary")
         def join_bytes(lists: pa.Array) -> pa.Array:
-            vocab = shared.value
-            lists = _plain(lists)
-            bounds = list_bounds(lists)
-            flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            bad = (flat < 0) | (flat >= len(vocab))
-            seen = np.concatenate(([0], np.cumsum(bad)))
-            null = lists.is_null().to_numpy(zero_copy_only=False) | (seen[bounds[1:]] > seen[bounds[:-1]])
-            at, lens, body = worker_bytes(vocab)
-            safe = np.where(bad, 0, flat)
-            data = gather_lists(at[safe], np.where(bad, 0, lens[safe]), body)
-            ends = np.concatenate(([0], np.cumsum(np.where(bad, 0, lens[safe]))))[bounds].astype(np.int32)
-            mask = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
-            return pa.Array.from_buffers(pa.binary(), len(lists), [mask, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+            return decode_lists(_plain(lists), worker_tokens(shared.value))
 
         return join_bytes(F.col(ids) if isinstance(ids, str) else ids)
 

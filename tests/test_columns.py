@@ -187,6 +187,25 @@ def test_truncate(spark, tok):
     assert [r.t for r in df.select(truncate_tokens(tok, "t", 2).alias("t")).collect()] == ["Hello,", "", None]
 
 
+def test_decoding_takes_little_memory(vocab):
+    from mergeloom.functions.columns import decode_lists, worker_tokens
+
+    rng, n = random.Random(5), len(vocab)
+    lists = [None, [], [None], [n], [-1], [0, n - 1]] + [[rng.randrange(n) for _ in range(rng.choice((0, 1, 30, 900)))] for _ in range(2_000)] + [[7] * 200_000, [7] * 200_000 + [n], []]
+    column = pa.array(lists, pa.list_(pa.int32()))
+    want = [None if x is None else vocab.decode(x) for x in lists]
+    tokens = worker_tokens(vocab)
+    for at in (0, 1, 5, len(lists)):
+        assert decode_lists(column[at:], tokens).to_pylist() == want[at:]
+    for x in ([None], [[]], [[], None]):
+        assert decode_lists(pa.array(x, pa.list_(pa.int32())), tokens).to_pylist() == [None if y is None else b"" for y in x]
+    tracemalloc.start()
+    decode_lists(column[:2_000], tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # numpy's; Arrow's is the result and a run of rows
+
+
 def test_a_workers_memory_is_bounded(spark, tok):
     from mergeloom.functions.columns import worker_encoder
     from mergeloom.functions.pieces import WORKER_ENTRIES, sliced
@@ -224,6 +243,11 @@ def test_append_and_prepend(spark, tok):
     assert got == {("k", 1): (5, count("Hello")), ("k", 2): (11, count("Hello world")), ("k", 3): (11, count("Hello world")), ("l", 1): (0, 0), (None, 1): (2, count("ab"))}
     got = {(r.key, r.pos): r.n_tokens for r in prepend_counts(raw, df, "key", "pos", "text").collect()}
     assert got[("k", 2)] == count(" worldHello")
+    # nulls first, ties by text; rows of a key in any number of batches
+    rows = [(1.5, None, "c"), (1.5, 2, "b"), (1.5, 2, "a"), (1.5, 2, None), (2.0, 1, "")]
+    df = spark.createDataFrame(rows, "key double, pos int, text string")
+    got = sorted((r.key, -1 if r.pos is None else r.pos, r.n_bytes, r.n_tokens) for r in append_counts(raw, df, "key", "pos", "text").collect())
+    assert got == [(1.5, -1, 1, 1), (1.5, 2, 1, 1), (1.5, 2, 2, count("ca")), (1.5, 2, 3, count("cab")), (2.0, 1, 0, 0)]
 
 
 def test_streams(spark, tok, tmp_path):

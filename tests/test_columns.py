@@ -161,6 +161,30 @@ def test_cuts_are_the_longest(vocab, pattern):
             assert back == min((b for b in range(start + 1, stop) if count(text[b:stop]) <= limit), default=stop), (text, start, stop, limit)
 
 
+@pytest.mark.parametrize("name", ["cl", "o2"])
+def test_cuts_count_each_word_once(spark, vocab, name):
+    from mergeloom.operators.chunks import Words, _counter
+    from mergeloom.functions.columns import worker_encoder
+
+    pattern = Tokenizer(spark, vocab, name).pattern
+    plain, words = _counter(vocab, pattern)
+    encoder = worker_encoder(vocab, pattern)
+    rng = random.Random(11)
+    more = [*PARTS, " word.", " Ünï,", " it's", " word\nword\r\nword", " x" * 300, " " + "line\n" * 40, " 好.", " ª", " \u0301a", " a\u0301."]
+    for _ in range(150):
+        text = "".join(rng.choice(more) for _ in range(rng.randint(1, 60)))
+        calls: list[str] = []
+        count = lambda s: calls.append(s) or len(encoder.pieces(s)) >> 2
+        limit, n = rng.randint(1, 40), len(text)
+        overlap = rng.randrange(limit)
+        bounds = chunk_bounds(text, limit, overlap, plain, vocab.max_len, True, words)
+        assert bounds == chunk_bounds(text, limit, overlap, count, vocab.max_len, True)
+        assert all(k == count(text[a:b]) for a, b, k in bounds) and bounds[-1][1] == n
+    calls.clear()
+    Slices("one two three " * 2_000 + "end", count, vocab.max_len, True, Words(count)).size(0, 28_003)
+    assert len(calls) < 500  # a count a block and a word, not one for each place
+
+
 def test_limits_stop_early(vocab):
     data = "".join(random.Random(3).choice(PARTS) for _ in range(400)).encode()
     counts = vocab.prefix_counts(data)

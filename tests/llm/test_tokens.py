@@ -1,4 +1,7 @@
+import gc
 import random
+import sys
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -123,3 +126,65 @@ def test_packing_documents(spark, odd_docs, no_docs):
     assert pack_documents(spark, no_docs).count() == 0
     zero = spark.createDataFrame([(1, 0), (2, None)], "doc_id bigint, n_tokens bigint")
     assert pack_counts(spark, zero).count() == 0
+
+
+def test_merges_side_by_side_are_the_encoding():
+    rng = random.Random(4)
+    for _ in range(30):
+        tokens = [bytes((i,)) for i in range(256)]
+        while len(tokens) < 400:
+            t = rng.choice(tokens[97:101] + tokens[256:]) + rng.choice(tokens[97:101] + tokens[256:])
+            if len(t) <= 12 and t not in tokens:
+                tokens.append(t)
+        rng.shuffle(tokens)
+        v = Vocabulary(tokens)
+        counter = TokenCounter(v, frozenset())
+        data = [bytes(rng.choice(b"abcd" if rng.random() < 0.9 else range(256)) for _ in range(rng.randint(1, 60))) for _ in range(300)] + [b"a" * n for n in range(1, 60)]
+        bounds = np.concatenate(([0], np.cumsum([len(d) for d in data])))
+        assert counter.counted(np.frombuffer(b"".join(data), dtype=np.uint8), bounds).tolist() == [len(v.encode(d)) for d in data]
+    assert TokenCounter(Vocabulary([bytes((i,)) for i in range(256)]), frozenset()).count("only bytes é") == 13
+
+
+def test_counts_of_chunks_are_those_of_whole_texts(vocab):
+    rng = random.Random(5)
+    counter = TokenCounter(vocab, prove_whole(vocab))
+    parts = ["the", "Word", "élan", "don't", "x1", "22", ".", ",", "end.", "où?", "a.\nSh", "\n", "\t", " ", "", "你好", "😀", "-", "(so", "I'LL", "’s", "_", "ñ!"]
+    texts = ["".join(rng.choice(parts) + rng.choice((" ", " ", "")) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    exact = [sum(len(vocab.encode(p.encode())) for p in counter.pattern.findall(t)) for t in texts]
+    assert counter.column(pa.array(texts, pa.string())).to_pylist() == exact
+
+
+def distinct_words(n: int) -> list[str]:
+    rng = random.Random(6)
+    return [" ".join("".join(rng.choices("etaoinshrdlu", k=9)) for _ in range(100)) for _ in range(n // 100)]
+
+
+def test_words_are_counted_without_a_call_each(vocab):
+    counter = TokenCounter(vocab, prove_whole(vocab))
+    texts, calls = pa.array(distinct_words(20_000)), 0
+
+    def seen(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(seen)
+    try:
+        counter.column(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls < 10_000
+
+
+def test_counting_keeps_nothing(vocab):
+    counter = TokenCounter(vocab, prove_whole(vocab))
+    texts = distinct_words(100_000)
+    counter.column(pa.array(texts[:10]))
+    gc.collect()
+    tracemalloc.start()
+    try:
+        for k in range(0, len(texts), 100):
+            counter.column(pa.array(texts[k : k + 100]))
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < 1 << 20
+    finally:
+        tracemalloc.stop()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mergeloom.functions.columns import gather_lists
 from mergeloom.functions.kernels import Vocabulary
 from mergeloom.functions.pieces import CL, ENDS
-from mergeloom.llm.text import slices, text_buffers
+from mergeloom.llm.text import slices, text_buffers, tidy
 from mergeloom.sources.ranks import DEFAULT_RANKS, load_vocabulary
 
 #: Stands for a chunk that can't be counted alone.
@@ -243,6 +243,7 @@ def count_documents(spark: SparkSession, docs: DataFrame, ranks: str = DEFAULT_R
     """
     shared = share_counter(spark, ranks)
 
+    @tidy
     def run(batches):
         count = shared.value.column
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from mergeloom.llm.graphs import components
 from mergeloom.llm.samples import parted
 from mergeloom.llm.sigtree import join_block, link_block
-from mergeloom.llm.text import MULT, SPREAD, hash_spans, mix, slices, text_buffers, words
+from mergeloom.llm.text import MULT, SPREAD, hash_spans, mix, slices, text_buffers, tidy, tidy_table, words
 from mergeloom.session import written
 
 GRAM = 3
@@ -86,6 +86,7 @@ def _blobs(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
+@tidy
 def _signatures(batches):
     """(doc_id, text_key, whole, size, bands, sketch) of every row; what has no word has no set."""
     for batch in batches:
@@ -197,11 +198,12 @@ def near_blocks(spark: SparkSession, docs: DataFrame, threshold: float = THRESHO
     members = written(spark, _paired(band.join(met, "bucket"), "whole"), "members")
     shards = max(1, -(-members.count() // LINK_ROWS))
     full = members.join(classes.select("whole", "size", "sketch"), "whole").withColumn("shard", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(shards)))
-    groups = components(full.groupBy("shard").applyInArrow(lambda t: _link(t, threshold), EDGES))
+    groups = components(full.groupBy("shard").applyInArrow(tidy_table(lambda t: _link(t, threshold)), EDGES))
     sizes = groups.groupBy("group").agg(F.count("*").alias("m"))
     blocks = groups.join(sizes, "group").select(F.col("node").alias("whole"), F.col("group").alias("block"), F.ceil(F.col("m") / BLOCK_CLASSES).cast("int").alias("parts"))
     inside = classes.select("whole", "rep", "n").join(blocks, "whole")
 
+    @tidy
     def sets_of(batches):
         for batch in batches:
             for part in slices(batch):
@@ -241,6 +243,7 @@ def near_pairs(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOL
     """
     _, classes, held = near_blocks(spark, docs, threshold, id_col, text_col)
 
+    @tidy_table
     def join(table: pa.Table) -> pa.Table:
         ids, _, values, bounds, side = _block(table)
         a, b, jaccard = join_block(values, bounds, threshold, side)
@@ -257,6 +260,7 @@ def _groups(spark: SparkSession, docs: DataFrame, threshold: float, id_col: str,
     """(marks, groups): groups (whole, group, links, n, rep) of the classes that have links."""
     marks, classes, held = near_blocks(spark, docs, threshold, id_col, text_col)
 
+    @tidy_table
     def join(table: pa.Table) -> pa.Table:
         ids, n, values, bounds, side = _block(table)
         links, root = link_block(values, bounds, n, threshold, side)

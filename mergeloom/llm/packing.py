@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.llm.counts import count_documents
+from mergeloom.llm.text import tidy_table
 from mergeloom.session import written
 
 WINDOW = 2048
@@ -82,6 +83,7 @@ def pack_counts(spark: SparkSession, counts: DataFrame, window: int = WINDOW, sh
     counts = written(spark, counts.where("n_tokens > 0").select("doc_id", "n_tokens"), "counts")
     shards = max(1, -(-counts.count() // shard_docs))
 
+    @tidy_table
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
         got = pack(table.column("n_tokens").to_numpy(), window)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from mergeloom.functions.columns import gather_lists
 from mergeloom.llm.samples import fresh_name, parted
 from mergeloom.llm.suffixes import MEMORY, common_prefixes, suffix_array
-from mergeloom.llm.text import MULT, hash_spans, mix, slices, text_buffers, words
+from mergeloom.llm.text import MULT, hash_spans, mix, slices, text_buffers, tidy, tidy_table, words
 from mergeloom.session import shared_dir, written
 
 PASSAGE = 50
@@ -91,6 +91,7 @@ def _heads(*columns) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+@tidy
 def _keys(batches):
     for batch in batches:
         for part in slices(batch):
@@ -103,6 +104,7 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(row[at])), pa.array((start - first[:-1][row])[at].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["key", "uid", "start", "n", "again"])
 
 
+@tidy
 def _snippets(batches):
     """Runs of candidate windows of one key, with their words."""
     for batch in batches:
@@ -204,7 +206,7 @@ def window_runs(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     one = found.groupBy("snippet").agg(F.min(place).alias("at"), (F.min(place) != F.max(place)).alias("many"), F.first("key").alias("key"), F.first("words").alias("words"))
     one = one.select("snippet", "at.*", "many", "words", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     folder = shared_dir(spark)
-    runs = written(spark, one.groupBy("shard").applyInArrow(lambda t: _shard(t, folder, memory), RUNS), "runs")
+    runs = written(spark, one.groupBy("shard").applyInArrow(tidy_table(lambda t: _shard(t, folder, memory)), RUNS), "runs")
     runs = runs.select("snippet", "place", "n", "first", F.col("uid").alias("_uid"), F.col("start").alias("_start"))
     later = ~(F.col("first") & (F.col("uid") == F.col("_uid")) & (F.col("start") == F.col("_start")))
     return found.select("snippet", "uid", "doc_id", "start").join(runs, "snippet").select("uid", "doc_id", (F.col("start") + F.col("place")).alias("start"), "n", later.alias("later"))
@@ -234,6 +236,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     Other columns are not read.
     """
 
+    @tidy
     def run(batches):
         for batch in batches:
             out = [(i, *s) for i, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in _spans(runs)]
@@ -271,6 +274,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
     runs = written(spark, runs, "copies")
     place, number, cols = names.index("text"), names.index("n_chars") if "n_chars" in names else None, len(names)
 
+    @tidy
     def run(batches):
         for batch in batches:
             arrays = list(batch.columns)

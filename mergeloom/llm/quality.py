@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mergeloom.llm.samples import labelled_documents
-from mergeloom.llm.text import hash_spans, mix, slices, text_buffers, words
+from mergeloom.llm.text import hash_spans, mix, slices, text_buffers, tidy, words
 from mergeloom.session import written
 
 BITS = 16
@@ -43,6 +43,7 @@ def buckets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 def count_buckets(texts: DataFrame) -> np.ndarray:
     """Counts of all n-grams of all texts (one column); each task sends one vector."""
 
+    @tidy
     def run(batches):
         total = np.zeros(1 << BITS, dtype=np.int64)
         for batch in batches:
@@ -125,6 +126,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, text_co
         return model
     shared = spark.sparkContext.broadcast((model, trusted, raw))
 
+    @tidy
     def run(batches):
         model, trusted, raw = shared.value
         for batch in batches:
@@ -148,6 +150,7 @@ def score_documents(docs: DataFrame, model: Quality, id_col: str = "doc_id", tex
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -163,6 +166,7 @@ def keep_good(docs: DataFrame, model: Quality) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):

@@ -7,7 +7,9 @@ than that is a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,54 @@ MULT = 1099511628211
 SPREAD = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
+LARGE_TABLE = 1 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
 _POW = np.ones(1, dtype=np.uint64)
 _INV = np.ones(1, dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Hand what this worker has freed back to the system; allocators would keep it, also while the worker idles."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that gives freed memory back after each batch and at its end."""
+
+    def each(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(each(batches))
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_table(run: Callable) -> Callable:
+    """A function of a table that gives freed memory back if the table isn't small."""
+
+    @functools.wraps(run)
+    def tidied(table):
+        large = table.nbytes >= LARGE_TABLE
+        out = run(table)
+        del table
+        if large:
+            give_back()
+        return out
+
+    return tidied
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """MULT**i and MULT**-i modulo 2**64 for i in 0..n."""
     global _POW, _INV

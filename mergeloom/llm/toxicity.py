@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.llm.neardups import gram_sets
 from mergeloom.llm.samples import labelled_sample
-from mergeloom.llm.text import hash_spans, mix, slices, span_sums, text_buffers, words
+from mergeloom.llm.text import hash_spans, mix, slices, span_sums, text_buffers, tidy, words
 from mergeloom.llm.transducer import Transducer
 from mergeloom.session import written
 
@@ -249,6 +249,7 @@ def score_texts(col: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray
 def without_copies(sample: DataFrame) -> DataFrame:
     """One text of those that share any of three minwise 3-grams: near copies would fake evidence."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -285,6 +286,7 @@ def _features(col: pa.Array) -> np.ndarray:
 def _feature_counts(sample: DataFrame, only: np.ndarray | None) -> DataFrame:
     shared = None if only is None else sample.sparkSession.sparkContext.broadcast(only)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -341,6 +343,7 @@ def fit_density(sample: DataFrame, lexicon: Lexicon) -> float:
     """The density that divides the labelled sample best, a clean document counting five times."""
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -362,6 +365,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -389,6 +393,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     place = docs.columns.index("text")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):

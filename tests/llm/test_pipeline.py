@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
@@ -38,3 +42,30 @@ def test_stages_take_effect(spark, tmp_path):
 def test_stages_on_odd_documents(spark, stage, odd_docs, no_docs):
     assert stage(spark, odd_docs, SF).count() > 0
     assert stage(spark, no_docs, SF).count() == 0
+
+
+KEPT = """
+import random, re, sys
+import pyarrow as pa
+from mergeloom.llm import neardups, passages
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+rng = random.Random(0)
+texts = [" ".join("".join(rng.choices("etaoin", k=5)) for _ in range(60)) * 9 for _ in range(1000)]
+before = held()
+for _ in range(4):
+    ids = pa.array(range(8000))
+    for run, columns in ((passages._keys, [ids, pa.array(texts * 8)]), (neardups._signatures, [ids, ids, pa.array(texts * 8)])):
+        for out in run(iter([pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "text"][-len(columns):] if len(columns) > 2 else ["doc_id", "text"])])):
+            pass
+        del out, columns
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="needs Linux")
+def test_workers_give_memory_back():
+    got = subprocess.run([sys.executable, "-c", KEPT], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=300)
+    assert float(got.stdout) < 112, got.stderr
